@@ -138,13 +138,16 @@ class WordHasher:
 
     BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
-    def __init__(self, lower: bool = True):
+    def __init__(self, lower: bool = True, alphanumeric: bool = False):
+        """``alphanumeric`` makes every other ASCII character part words too."""
         values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
         if lower:
             values[65:91] = values[97:123]  # A-Z count as a-z
         self.values = values
         self.space = np.zeros(256, bool)
         self.space[list(SPACES)] = True
+        if alphanumeric:
+            self.space[[b for b in range(128) if not chr(b).isalnum()]] = True
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:

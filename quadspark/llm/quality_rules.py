@@ -22,15 +22,15 @@ from quadspark.llm.common import WORD, map_texts
 class Band:
     """What a script's texts keep to: characters per token, byte-fallback share, token entropy.
 
-    Entropy is in bits per token as a share of log2 of the number of tokens, which a text that
-    repeats itself or draws on few symbols lowers whatever its length.
+    Entropy is in bits per token as a share of what it could be: log2 of the number of tokens, or
+    8 bits if that is less, as a long text's entropy levels off at that of its language.
     """
 
     chars_low: float
     chars_high: float
     bytes_high: float
     entropy_low: float
-    entropy_high: float = 1.0
+    entropy_high: float = 2.0
 
 
 #: Script: range of code points (first, last) of its letters.
@@ -45,7 +45,7 @@ SCRIPTS = {
 }
 #: Other scripts and texts without letters have the band "other".
 BANDS = {
-    "latin": Band(1.75, 8.0, 0.10, 0.55),
+    "latin": Band(1.75, 8.0, 0.10, 0.60),
     "cyrillic": Band(0.6, 5.0, 0.10, 0.45),
     "greek": Band(0.4, 4.0, 0.30, 0.40),
     "arabic": Band(0.4, 4.0, 0.40, 0.40),
@@ -126,7 +126,7 @@ def fertility(docs: DataFrame, bands: dict[str, Band] | None = None, bpe_path: s
             ids = np.array(pieces.encode(text, num_threads=1), np.int64)
             counts = np.bincount(ids)
             p = counts[counts > 0] / len(ids)
-            entropy = float(-(p * np.log2(p)).sum() / np.log2(len(ids))) if len(ids) > 1 else 1.0
+            entropy = float(-(p * np.log2(p)).sum() / min(np.log2(len(ids)), 8.0)) if len(ids) > 1 else 1.0
             return len(text) / len(bpe.encode_ordinary(text)), float(is_byte[ids].mean()), entropy
 
         def work(texts):

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadspark.llm import bpe, mixing, quality_rules, secret_scan, token_counts
+from quadspark.llm import bpe, language_id, mixing, pu_quality, quality_rules, secret_scan, token_counts, toxicity
+from quadspark.llm.language_id import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_fold(rows: DataFrame, folds: int, fold: int) -> DataFrame:
+    return rows.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), *rows.columns[1:])
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return with_fold(language_id.identify(docs, docs.where(~held_out("doc_id", 3, 1))), 3, 1)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.fertility(table(spark, sf_dir, "documents"))
 
@@ -23,14 +33,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return with_fold(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 4, 2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return with_fold(pu_quality.score(docs, pu_quality.fit(docs, table(spark, sf_dir, "labels"))), 4, 2)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # an empty cache each time, so that a run's figures are those of encoding every distinct text
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_secret_scans, op4_byte_bpe, op7_mixing, op9_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op4_byte_bpe, op5_toxicity, op7_mixing, op8_quality_classifier, op9_token_counts)
+}
 SQL = {"op7_mixing": mixing.SQL}
