@@ -2,15 +2,19 @@
 
 The rank file is turned into a ``tokenizers`` model once on the driver: bytes map to printable
 characters, a merge is every split of a token into two known tokens, in rank order. Pieces that are
-a token are taken whole, as the rank format asks for. Offsets come from token byte lengths and a
+a token are taken whole, as the rank format asks for. The pattern's matches are encoded once and kept
+in a bounded cache, as most matches come again. Offsets come from token byte lengths and a
 byte-to-character map; a token that starts or ends within a character covers that character.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import os
 from collections.abc import Iterator
+from operator import or_
 
 import numpy as np
 import public_tokenizers
@@ -35,9 +39,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
-    """A ``tokenizers`` definition that encodes as the ranks do."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+def tokenizer_json(ranks: dict[bytes, int]) -> str:
+    """A ``tokenizers`` definition that encodes one match of the pattern as the ranks do."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     table = byte_table()
     shown = {token: "".join(table[b] for b in token) for token in ranks}
@@ -48,10 +52,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
         if token[:k] in ranks and token[k:] in ranks
     ]
     tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), behavior="isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-    ])
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return tokenizer.to_str()
 
 
@@ -75,19 +76,56 @@ def char_offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return before[starts] - inside[starts], before[ends], int(split.sum())
 
 
+#: A match of the pattern: its ids, these as text, the bytes they decode to, tokens bounded within a
+#: character. Plain tuples, which the garbage collector then leaves alone.
+Piece = tuple[tuple[int, ...], str, bytes, int]
+
+
 class Codec:
     """Encodes texts to ids and offsets and decodes ids; one per task."""
 
-    def __init__(self, definition: str, table: list[bytes]):
+    CACHE = 400_000  # pieces kept, each of at most 64 characters: about 160 MB
+
+    def __init__(self, definition: str, table: list[bytes], pattern: str):
+        gc.set_threshold(200_000)  # the cache makes many objects and no cycles
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.table = table
+        self.names = [str(i) for i in range(len(table))]
         self.lengths = np.array([len(t) for t in table], np.int64)
+        self.within = [bool(t) and 0x80 <= t[0] < 0xC0 for t in table]  # tokens that begin within a character
+        self.matches = regex.compile(pattern).findall
+        self.cache: dict[str, Piece] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def pieces(self, texts: list[str]) -> Iterator[list[Piece]]:
+        """The encoded matches of each text."""
         for text in texts:
-            yield self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
+            found = self.matches(text)
+            cache = self.cache
+            if missing := [p for p in dict.fromkeys(found) if p not in cache]:
+                if len(cache) + len(missing) > self.CACHE:
+                    cache = self.cache = {}
+                    missing = list(dict.fromkeys(found))
+                fresh = {p: self._piece(p, e.ids) for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+                cache.update((p, piece) for p, piece in fresh.items() if len(p) <= 64)
+                yield [cache[p] if p in cache else fresh[p] for p in found]
+            else:
+                yield [cache[p] for p in found]
+
+    def _piece(self, text: str, ids: list[int]) -> Piece:
+        split = 0
+        if not text.isascii():
+            within = [self.within[i] for i in ids]
+            split = sum(map(or_, within, within[1:] + [False])) if any(within) else 0
+        names = self.names
+        return tuple(ids), " ".join([names[i] for i in ids]), self.decode(ids), split
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for pieces in self.pieces(texts):
+            yield [i for p in pieces for i in p[0]]
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.table
@@ -96,7 +134,7 @@ class Codec:
 
 def _load(spark, path: str | None, pattern: str | None):
     ranks = read_ranks(path or public_tokenizers.path(RANKS))
-    return spark.sparkContext.broadcast((tokenizer_json(ranks, pattern or public_tokenizers.PATTERN), token_bytes(ranks)))
+    return spark.sparkContext.broadcast((tokenizer_json(ranks), token_bytes(ranks), pattern or public_tokenizers.PATTERN))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
@@ -155,15 +193,14 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
     def make():
         codec = Codec(*model.value)
-        names = [str(i) for i in range(len(codec.table))]
 
         def work(texts):
             out = {name: [] for name in schema.names}
-            for text, ids in zip(texts, codec.encode(texts), strict=True):
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                out["n_split"].append(char_offsets(text.encode(), codec.lengths[ids])[2])
+            for pieces in codec.pieces(texts):
+                out["n_tokens"].append(sum([len(p[0]) for p in pieces]))
+                out["ids_sha256"].append(hashlib.sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest())
+                out["n_split"].append(sum([p[3] for p in pieces]))
             return out
 
         return work
