@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadspark.llm import bpe, language_id, mixing, pu_quality, quality_rules, secret_scan, token_counts, toxicity
+from quadspark.llm import ann, bpe, language_id, mixing, near_dedup, pu_quality, quality_rules, secret_scan, token_counts, toxicity
 from quadspark.llm.language_id import held_out
 
 
@@ -38,6 +39,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 4, 2)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,8 +58,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_quality_rules, op3_secret_scans, op4_byte_bpe, op5_toxicity, op7_mixing, op8_quality_classifier, op9_token_counts)
+    for f in (
+        op1_language_id,
+        op2_quality_rules,
+        op3_secret_scans,
+        op4_byte_bpe,
+        op5_toxicity,
+        op6_nearest_neighbours,
+        op7_mixing,
+        op8_quality_classifier,
+        op9_token_counts,
+        op10_near_dedup,
+    )
 }
 SQL = {"op7_mixing": mixing.SQL}
