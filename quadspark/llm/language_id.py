@@ -150,8 +150,8 @@ def sample(docs: DataFrame, max_chars: int, chunk: int, id_col: str, text_col: s
     return {lang: text for lang, text in texts.items() if len(text) > 1}
 
 
-def identify(docs: DataFrame, train: DataFrame, max_chars: int = 24_000, chunk: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id, lang_pred, score)`` of every row of ``docs``, learnt from the labelled rows of ``train``.
+def identify(docs: DataFrame, train: DataFrame, max_chars: int = 24_000, chunk: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, lang_pred, score)`` of every row of ``docs``, learnt from the labelled rows of ``train``.
 
     ``score`` is 0.5 to 1: the second-best entropy's share of the best two (1 with one language).
     Texts that are null or have no letter, and all texts if nothing was learnt, are ``und``, score 0.
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, train: DataFrame, max_chars: int = 24_000, chunk:
 
         return work
 
-    return map_texts(docs, make, schema, id_col, text_col)
+    return map_texts(docs, make, schema, id_col, text_col, carry=keep)
 
 
 def held_out(id_col: str, folds: int, fold: int):

@@ -98,6 +98,23 @@ def mix(
     )
 
 
+def mixed(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, the last time perhaps cut short.
+
+    A row that is taken for part of its words has its text cut after the last of them;
+    ``length_col``, if named, then has the length of what is left. Options are those of :func:`mix`.
+    """
+    others = tuple(c for c in docs.columns if c != options.get("id_col", "doc_id"))
+    took = mix(docs, text_col=text_col, keep=others, **options).where("taken > 0")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
+    rows = took.withColumn("__copy", copy)
+    left = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
+    words = F.regexp_extract_all(F.col(text_col), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    text = F.when(left >= F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
+    out = rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.withColumn(length_col, F.length(text_col).cast("long")) if length_col else out
+
+
 #: The same in DuckDB's SQL, over a table documents.
 SQL = """
 WITH d AS (
