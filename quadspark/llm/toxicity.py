@@ -51,6 +51,7 @@ class Model:
 
     word: np.ndarray  # (2, words) counts
     cut: np.ndarray  # discounts of words seen 0, 1, 2 and more times
+    mass: np.ndarray  # (2, 1) what the discounts took from a class's words
     shared: np.ndarray  # (words) the distribution that both classes back off to
     pairs: np.ndarray  # hashes of the pairs kept, sorted
     pair: np.ndarray  # (2, pairs) their counts
@@ -70,8 +71,7 @@ class Model:
         at = _bucket(words, WORD_BITS)
         n = self.word[:, at] - (0 if labels is None else _own(owner, at, labels))
         total = self.word.sum(1, keepdims=True)
-        mass = np.minimum(self.word, self.cut[np.minimum(self.word, 3)]).sum(1, keepdims=True)
-        low = (np.maximum(n - self.cut[np.clip(n, 0, 3)], 0) + np.maximum(mass, 1) * self.shared[at]) / np.maximum(total, 1)
+        low = (np.maximum(n - self.cut[np.clip(n, 0, 3)], 0) + np.maximum(self.mass, 1) * self.shared[at]) / np.maximum(total, 1)
         logs = np.log(low)
         inner = owner[1:] == owner[:-1]
         if inner.any() and len(self.pairs):
@@ -111,7 +111,14 @@ def _emit(found: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(found)
 
 
-def shared_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def _parts(df: DataFrame, key: str, parts: int = 8):
+    """The rows of a bounded table as numpy columns, a part at a time, so that the driver holds little."""
+    for k in range(parts):
+        got = df.where(F.pmod(F.col(key), F.lit(parts)) == k).toArrow()
+        yield [got.column(c).to_numpy() for c in got.column_names]
+
+
+def shared_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> np.ndarray:
     """Estimated number of different words before each word bucket, over all documents."""
 
     def run(batches):
@@ -129,11 +136,11 @@ def shared_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for k in range(0, len(at), 50_000):
             yield _emit({"bucket": at[k : k + 50_000].astype(np.int32), "mask": masks[at[k : k + 50_000]].view(np.int64)})
 
-    masks = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket int, mask bigint").groupBy("bucket").agg(F.bit_count(F.bit_or("mask")).alias("n"))
-    out = np.zeros(1 << WORD_BITS)
-    got = masks.toPandas()
-    filled = np.minimum(got["n"].to_numpy(float), 63.5)
-    out[got["bucket"].to_numpy()] = -64 * np.log1p(-filled / 64)
+    masks = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket int, mask bigint")
+    counts = scratch.save(masks.groupBy("bucket").agg(F.bit_count(F.bit_or("mask")).cast("short").alias("n")), "shared")
+    out = np.zeros(1 << WORD_BITS, np.float32)
+    for bucket, n in _parts(counts, "bucket"):
+        out[bucket] = -64 * np.log1p(-np.minimum(n, 63.5) / 64)
     return out
 
 
@@ -160,22 +167,22 @@ def class_counts(rows: DataFrame, scratch: Scratch) -> dict[str, np.ndarray]:
     counts = rows.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     out = {"word": np.zeros((2, 1 << WORD_BITS), np.int32), "context": np.zeros((2, 1 << WORD_BITS), np.int32), "follow": np.zeros((2, 1 << WORD_BITS), np.float32)}
-    words = counts.where("kind = 0").toPandas()
-    key = words.key.to_numpy()
-    out["word"][key % 2, key // 2] = words.n.to_numpy()
+    for key, n in _parts(counts.where("kind = 0").select("key", F.col("n").cast("int")), "key"):
+        out["word"][key % 2, key // 2] = n
     pairs = counts.where("kind = 2")
     of = {r[0]: r[1] for r in pairs.where("n <= 4").groupBy("n").count().collect()}
     out["discount"] = discounts(*[of.get(k, 0) for k in (1, 2, 3, 4)])
     taken = F.least("n", F.element_at(F.array(*[F.lit(float(d)) for d in out["discount"]]), F.least("n", F.lit(3)).cast("int") + 1))
     context = F.col("key").bitwiseAND((2 << WORD_BITS) - 1)
-    by = pairs.groupBy(context.alias("context")).agg(F.sum("n").alias("n"), F.sum(taken).alias("taken")).toPandas()
-    key = by.context.to_numpy()
-    out["context"][key % 2, key // 2], out["follow"][key % 2, key // 2] = by.n.to_numpy(), by.taken.to_numpy()
-    often = pairs.where("n >= 2").toPandas()
-    key = often.key.to_numpy()
+    by = pairs.groupBy(context.alias("context")).agg(F.sum("n").cast("int").alias("n"), F.sum(taken).cast("float").alias("taken"))
+    for key, n, part in _parts(scratch.save(by, "contexts"), "context"):
+        out["context"][key % 2, key // 2], out["follow"][key % 2, key // 2] = n, part
+    often = [np.stack([key, n]) for key, n in _parts(pairs.where("n >= 2").select("key", F.col("n").cast("int")), "key")]
+    key, n = np.concatenate(often, axis=1)
+    del often
     out["pairs"], at = np.unique(key >> (WORD_BITS + 1), return_inverse=True)
     out["pair"] = np.zeros((2, len(out["pairs"])), np.int32)
-    np.add.at(out["pair"], (key % 2, at), often.n.to_numpy())
+    np.add.at(out["pair"], (key % 2, at), n)
     return out
 
 
@@ -203,12 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     shared backoff counts see all documents. Without labelled rows of both classes every score is
     the share of toxic ones (0 without any)."""
     chosen, total = labelled_sample(labels, label_col, max_rows, fold, id_col)
-    shared = shared_counts(docs, text_col)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    shared = shared_counts(docs, scratch, text_col)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
-    counts = class_counts(rows.select("label", "text"), Scratch(docs.sparkSession, "toxicity"))
+    counts = class_counts(rows.select("label", "text"), scratch)
     cut = discounts(*np.bincount(np.minimum(counts["word"].ravel(), 5), minlength=6)[1:5])
     smoothed = (shared + 0.1) / (shared + 0.1).sum()
-    model = Model(counts["word"], cut, smoothed.astype(np.float32), counts["pairs"], counts["pair"], counts["context"], counts["follow"], counts["discount"])
+    mass = np.stack([[np.minimum(n, cut[np.minimum(n, 3)]).sum()] for n in counts["word"]])
+    model = Model(counts["word"], cut, mass, smoothed.astype(np.float32), counts["pairs"], counts["pair"], counts["context"], counts["follow"], counts["discount"])
 
     holder = docs.sparkSession.sparkContext.broadcast(model)
 
