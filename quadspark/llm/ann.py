@@ -25,7 +25,7 @@ BLOCK = 4096  # rows of a leaf that one group of queries meets at once
 class Tree:
     """Nodes as centroids with child lists; leaves are numbered."""
 
-    def __init__(self, sample: np.ndarray, branch: int = 8, leaf_rows: int = 32, seed: int = 11):
+    def __init__(self, sample: np.ndarray, branch: int = 8, leaf_rows: int = 128, seed: int = 11):
         self.centroids: list[np.ndarray] = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
         self.children: list[np.ndarray | None] = [None]
         self.leaf: list[int] = [-1]
@@ -144,7 +144,7 @@ def search(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 10,
-    recall: float = 0.97,
+    recall: float = 0.95,
     sample_rows: int = 16_384,
     calibration: int = 128,
     id_col: str = "vec_id",
@@ -205,9 +205,16 @@ def search(
     met = dealt.select("id", "v", "leaf", "block", "side").unionByName(asks)
     met = met.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "side")
 
+    def emit(best: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
+        rows = [(q, v, s) for q, found in best.items() for s, v in found]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+
     def compare(batches):
+        """The k best of each query over all leaves of the task, so that few rows are shuffled."""
         key, ids, vs = None, [], []
         base: tuple | None = None
+        best: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
             tags = np.stack([np.array(batch.column(c)) for c in ("leaf", "block", "side")], axis=1)
             v, own = _matrix(batch.column("v"), dim), np.array(batch.column("id"))
@@ -225,11 +232,15 @@ def search(
                     if base is None:
                         all_ids, at_first = np.unique(np.concatenate(ids), return_index=True)
                         base = np.concatenate(vs)[at_first], all_ids
-                    found = list(nearest(v[a:b], own[a:b], *base, k))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([own[a + f[0]] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())],
-                        names=["query_id", "vec_id", "score"],
-                    )
+                    fresh: dict[int, list[tuple[float, int]]] = {}
+                    for q, vec_id, score in nearest(v[a:b], own[a:b], *base, k):
+                        fresh.setdefault(int(own[a + q]), []).append((score, vec_id))
+                    for q, found in fresh.items():
+                        best[q] = heapq.nsmallest(k, {*best.get(q, ()), *found})
+                    if len(best) > 50_000:
+                        yield emit(best)
+                        best = {}
+        yield emit(best)
 
     found = met.mapInArrow(compare, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
