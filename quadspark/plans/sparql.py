@@ -5,16 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadspark.functions import terms
 from quadspark.functions.terms import XSD, Value
 from quadspark.operators.snapshot import Snapshot, latest_annotations
-from quadspark.plans.build import Builder, Solutions, join, one_row, union
+from quadspark.plans.build import Builder, Solutions, join, union
 from quadspark.plans.patterns import ANY, UNION, Graph, Pattern, Var
 from quadspark.plans.sparql_parser import Select, parse
 
+#: Functions whose value is a boolean, and comparisons read from the right.
+TESTS = ("BOUND", "SAMETERM", "ISIRI", "ISURI", "ISLITERAL", "ISBLANK", "ISNUMERIC", "CONTAINS", "STRSTARTS", "STRENDS", "LANGMATCHES", "REGEX")
+FLIPPED = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 NULL = lambda: F.lit(None).cast(terms.TERM)
 
 
@@ -67,7 +70,7 @@ class Sparql:
             rows, rewritten, having = self.aggregate(rows, q, items)
             items = [(name, e) for (name, _), e in zip(items, rewritten, strict=True)]
             for test in having:
-                rows = rows.where(terms.truth(self.expr(test, rows)))
+                rows = rows.where(self.test(test, rows))
         for name, e in items:
             if e != ("var", name):
                 rows = _with(rows, name, self.expr(e, rows))
@@ -175,7 +178,7 @@ class Sparql:
 
                 def also(col):
                     lookup = {v: col(v) for v in names}
-                    return reduce(lambda a, b: a & b, [F.coalesce(terms.truth(self.expr(t, None, lookup)), F.lit(False)) for t in tests])
+                    return reduce(lambda a, b: a & b, [F.coalesce(self.test(t, None, lookup), F.lit(False)) for t in tests])
 
             return join(left, inner, "left", also)
         if kind == "minus":
@@ -214,7 +217,7 @@ class Sparql:
             return self.filter(self.filter(rows, test[2][0]), test[2][1])
         if _has_exists(test):
             raise NotImplementedError("EXISTS within another expression than a conjunction")
-        return rows.where(terms.truth(self.expr(test, rows)))
+        return rows.where(self.test(test, rows))
 
     def values(self, names: list[str], rows: list[list]) -> Solutions:
         cols = [F.array(*[F.struct(*[(NULL() if v is None else v.column()).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])] if rows else []
@@ -303,7 +306,7 @@ class Sparql:
     def describe(self, rows: Solutions, described: list) -> DataFrame:
         """All triples out of the named nodes and of nodes that the variables are bound to."""
         names = [d.name for d in described if isinstance(d, Var)] if described else list(rows.vars)
-        parts = [rows.df.select(F.col(f"`{n}`")["str"].alias("n")).where(F.col(f"`{n}`")["kind"] == "U") for n in names if n in rows.vars]
+        parts = [rows.df.where(F.col(f"`{n}`")["kind"] == "U").select(F.col(f"`{n}`")["str"].alias("n")) for n in names if n in rows.vars]
         fixed = [d.value for d in described if isinstance(d, Value)]
         if fixed:
             parts.append(self.spark.createDataFrame([(f,) for f in fixed], "n string"))
@@ -324,53 +327,118 @@ class Sparql:
             return e[1].column()
         if kind == "exists":
             raise NotImplementedError("EXISTS within an expression")
-        args = [self.expr(a, rows, lookup) for a in e[2]]
-        return self.operator(e[1], args) if kind == "op" else self.call(e[1], args)
-
-    def operator(self, op: str, a: list[Column]) -> Column:
-        if op in ("&&", "||"):
-            x, y = map(terms.truth, a)
-            return terms.boolean(x & y if op == "&&" else x | y)
-        if op == "!":
-            return terms.boolean(~terms.truth(a[0]))
-        if op == "=":
-            return terms.boolean(terms.equal(*a))
+        if kind == "op" and e[1] in ("+", "-", "*", "/", "neg"):
+            whole, real = self.whole(e, rows, lookup), self.real(e, rows, lookup)
+            return F.when(whole.isNotNull(), terms.integer(whole)).otherwise(terms.double(real))
+        if kind == "op" or e[1] in TESTS:
+            return terms.boolean(self.test(e, rows, lookup))
+        return self.call(e[1], [self.expr(a, rows, lookup) for a in e[2]])
+
+    # Tests and numbers are built as plain columns and become terms at the end only: a term column names
+    # its value several times, so nested terms would grow with every level.
+
+    def test(self, e: tuple, rows: Solutions | None, lookup: dict[str, Column] | None = None) -> Column:
+        """The boolean value of an expression."""
+        if e[0] == "op" and e[1] in ("&&", "||"):
+            x, y = (self.test(a, rows, lookup) for a in e[2])
+            return x & y if e[1] == "&&" else x | y
+        if e[0] == "op" and e[1] == "!":
+            return ~self.test(e[2][0], rows, lookup)
+        if e[0] == "op" and e[1] == "in":
+            return reduce(lambda p, q: p | q, [self.compare("=", e[2][0], b, rows, lookup) for b in e[2][1:]], F.lit(False))
+        if e[0] == "op" and e[1] in FLIPPED:
+            return self.compare(e[1], *e[2], rows, lookup)
+        if e[0] == "call" and e[1] in TESTS:
+            return self.test_call(e[1], e[2], rows, lookup)
+        return terms.truth(self.expr(e, rows, lookup))
+
+    def whole(self, e: tuple, rows, lookup) -> Column:
+        """The value of an expression over integers, null for any other."""
+        if e[0] == "term":
+            return F.lit(e[1].value if e[1].kind == "I" else None).cast("bigint")
+        if e[0] == "op" and e[1] in ("+", "-", "*"):
+            x, y = (self.whole(a, rows, lookup) for a in e[2])
+            return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e[1]](x, y)
+        if e[0] == "op" and e[1] == "neg":
+            return F.try_subtract(F.lit(0).cast("bigint"), self.whole(e[2][0], rows, lookup))
+        return F.lit(None).cast("bigint") if e[0] == "op" else self.expr(e, rows, lookup)["int"]
+
+    def real(self, e: tuple, rows, lookup) -> Column:
+        """The value of an expression as a double."""
+        if e[0] == "term":
+            return F.lit(float(e[1].value)) if e[1].kind in "ID" else terms.number(e[1].column())
+        if e[0] == "op" and e[1] in ("+", "-", "*", "/"):
+            x, y = (self.real(a, rows, lookup) for a in e[2])
+            return {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[e[1]]
+        if e[0] == "op" and e[1] == "neg":
+            return -self.real(e[2][0], rows, lookup)
+        return terms.number(self.expr(e, rows, lookup))
+
+    def compare(self, op: str, a: tuple, b: tuple, rows, lookup) -> Column:
+        """A comparison; with a constant only what that can equal is looked at, so a filter can be pushed down."""
+        if a[0] == "term" and b[0] != "term":
+            return self.compare(FLIPPED[op], b, a, rows, lookup)
         if op == "!=":
-            return terms.boolean(~terms.equal(*a))
-        if op in ("<", "<="):
-            return terms.boolean(terms.less(a[0], a[1], op == "<="))
-        if op in (">", ">="):
-            return terms.boolean(terms.less(a[1], a[0], op == ">="))
-        if op == "in":
-            return terms.boolean(reduce(lambda p, q: p | q, [terms.equal(a[0], b) for b in a[1:]], F.lit(False)))
-        if op == "neg":
-            return self.operator("-", [Value("I", 0).column(), a[0]])
-        x, y = map(terms.number, a)
-        ints = (a[0]["kind"] == "I") & (a[1]["kind"] == "I")
-        whole = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}
-        real = {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op]
-        if op == "/":
-            return terms.double(real)
-        return F.when(ints, terms.integer(whole[op](a[0]["int"], a[1]["int"]))).otherwise(terms.double(real))
-
-    def call(self, name: str, a: list[Column]) -> Column:
-        k = a[0]["kind"] if a else None
+            return ~self.compare("=", a, b, rows, lookup)
+        act = {"=": lambda x, y: x == y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+        if b[0] == "term" and a[0] != "term":
+            c = b[1]
+            if c.kind in "ID":
+                number = act(self.real(a, rows, lookup), F.lit(float(c.value)))
+                exact = F.coalesce(act(self.whole(a, rows, lookup), F.lit(c.value)), number) if c.kind == "I" else number
+                if op == "=" and a[0] != "op":
+                    return F.coalesce(exact, F.when(self.expr(a, rows, lookup)["kind"] == "U", F.lit(False)))
+                return exact
+            t = self.expr(a, rows, lookup)
+            if c.kind == "U" and op == "=":
+                return t["key"] == c.key()
+            if c.kind == "S" or (c.kind == "T" and c.extra in terms.TEMPORAL_TYPES):
+                alike = (t["kind"] == "S") if c.kind == "S" else (t["kind"] == "T") & (t["dt"] == c.extra)
+                out = F.when(alike, act(t["str"], F.lit(c.value)))
+                return out.when(t["kind"].isin("U", "L") if c.kind == "S" else t["kind"] == "U", F.lit(False)) if op == "=" else out
+        arithmetic = any(x[0] == "op" and x[1] in ("+", "-", "*", "/", "neg") for x in (a, b))
+        if arithmetic:
+            return F.coalesce(act(self.whole(a, rows, lookup), self.whole(b, rows, lookup)), act(self.real(a, rows, lookup), self.real(b, rows, lookup)))
+        x, y = self.expr(a, rows, lookup), self.expr(b, rows, lookup)
+        return terms.equal(x, y) if op == "=" else terms.less(x, y, op == "<=") if op[0] == "<" else terms.less(y, x, op == ">=")
+
+    def test_call(self, name: str, args: list[tuple], rows, lookup) -> Column:
+        a = self.expr(args[0], rows, lookup)
+        k = a["kind"]
         string = lambda t: F.when(t["kind"].isin("S", "L"), t["str"])
-        # the second argument's language, if any, must be the first one's
-        fits = lambda: (a[1]["kind"] == "S") | ((a[0]["kind"] == "L") & (F.lower(a[0]["lang"]) == F.lower(a[1]["lang"])))
-        like = lambda value: F.when(k == "L", terms.lang_text(value, a[0]["lang"])).otherwise(terms.text(value))
         if name == "BOUND":
-            return terms.boolean(a[0]["key"].isNotNull())
-        if name == "SAMETERM":
-            return terms.boolean(a[0]["key"] == a[1]["key"])
+            return a["key"].isNotNull()
         if name in ("ISIRI", "ISURI"):
-            return terms.boolean(k == "U")
+            return k == "U"
         if name == "ISLITERAL":
-            return terms.boolean(k != "U")
+            return k != "U"
         if name == "ISBLANK":  # blank nodes become IRIs at import
-            return terms.boolean(k.isNotNull() & F.lit(False)) if False else F.when(k.isNotNull(), Value("B", False).column())
+            return F.when(k.isNotNull(), F.lit(False))
         if name == "ISNUMERIC":
-            return F.when(k.isNotNull(), terms.boolean(terms.number(a[0]).isNotNull()))
+            return F.when(k.isNotNull(), terms.number(a).isNotNull())
+        constant = args[1][1].value if args[1][0] == "term" and args[1][1].kind == "S" else None
+        b = self.expr(args[1], rows, lookup)
+        if name == "SAMETERM":
+            return a["key"] == b["key"]
+        other = F.lit(constant) if constant is not None else string(b)
+        if name == "LANGMATCHES":
+            tag, wanted = F.lower(string(a)), F.lower(other)
+            return F.when(wanted == "*", tag != "").otherwise((tag == wanted) | F.startswith(tag, F.concat(wanted, F.lit("-"))))
+        if name == "REGEX":
+            flags = "" if len(args) < 3 else args[2][1].value if args[2][0] == "term" else None
+            if flags is None:
+                raise NotImplementedError("REGEX flags that are no constant")
+            letters = "".join(c for c in flags if c in "smix")
+            body = F.concat(F.lit("\\Q"), other, F.lit("\\E")) if "q" in flags else other
+            return F.regexp_like(string(a), F.concat(F.lit(f"(?{letters})"), body) if letters else body)
+        found = {"CONTAINS": F.contains, "STRSTARTS": F.startswith, "STRENDS": F.endswith}[name](string(a), other)
+        # the second argument's language, if it has one, must be the first one's
+        return found if constant is not None else F.when((b["kind"] == "S") | ((k == "L") & (F.lower(a["lang"]) == F.lower(b["lang"]))), found)
+
+    def call(self, name: str, a: list[Column]) -> Column:
+        k = a[0]["kind"] if a else None
+        string = lambda t: F.when(t["kind"].isin("S", "L"), t["str"])
+        like = lambda value: F.when(k == "L", terms.lang_text(value, a[0]["lang"])).otherwise(terms.text(value))
         if name == "STR":
             return terms.text(terms.lexical(a[0]))
         if name == "LANG":
@@ -379,21 +447,6 @@ class Sparql:
             return terms.node(terms.datatype(a[0]))
         if name in ("IRI", "URI"):
             return terms.node(F.when(k.isin("U", "S"), a[0]["str"]))
-        if name == "CONTAINS":
-            return terms.boolean(F.when(fits(), F.contains(string(a[0]), string(a[1]))))
-        if name == "STRSTARTS":
-            return terms.boolean(F.when(fits(), F.startswith(string(a[0]), string(a[1]))))
-        if name == "STRENDS":
-            return terms.boolean(F.when(fits(), F.endswith(string(a[0]), string(a[1]))))
-        if name == "LANGMATCHES":
-            tag, wanted = F.lower(string(a[0])), F.lower(string(a[1]))
-            return terms.boolean(F.when(wanted == "*", tag != "").otherwise((tag == wanted) | F.startswith(tag, F.concat(wanted, F.lit("-")))))
-        if name == "REGEX":
-            flags = F.coalesce(string(a[2]), F.lit("")) if len(a) > 2 else F.lit("")
-            quoted = F.contains(flags, F.lit("q"))
-            body = F.when(quoted, F.concat(F.lit("\\Q"), string(a[1]), F.lit("\\E"))).otherwise(string(a[1]))
-            letters = F.regexp_replace(flags, "[^smix]", "")
-            return terms.boolean(F.regexp_like(string(a[0]), F.concat(F.when(letters != "", F.concat(F.lit("(?"), letters, F.lit(")"))).otherwise(""), body)))
         if name == "STRLEN":
             return terms.integer(F.length(string(a[0])).cast("long"))
         if name in ("UCASE", "LCASE"):
@@ -439,4 +492,4 @@ def _has_exists(e) -> bool:
     return any(isinstance(x, tuple) and x and x[0] == "exists" for x in _walk(e))
 
 
-__all__ = ["Result", "Sparql", "Window", "one_row"]
+__all__ = ["Result", "Sparql"]

@@ -42,7 +42,7 @@ TABLES = (
     Table("supplier", ("s_suppkey",), (("s_nationkey", "nation"),)),
     Table("part", ("p_partkey",)),
     Table("orders", ("o_orderkey",), (("o_custkey", "customer"),)),
-    Table("lineitem", ("l_orderkey", "l_linenumber"), (("l_orderkey", "orders"), ("l_partkey", "part"), ("l_suppkey", "supplier"))),
+    Table("lineitem", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), (("l_orderkey", "orders"), ("l_partkey", "part"), ("l_suppkey", "supplier"))),
     Table("documents", ("doc_id",)),
     Table("labels", ("doc_id",)),
     Table("pages", ("page_id",)),
@@ -119,7 +119,7 @@ class TableStore:
     def lineitem_annotations(self) -> DataFrame:
         """Quantity and discount as annotations on the edge from a line to its part."""
         df = self.frame("lineitem")
-        s, o = iri("lineitem", F.col("l_orderkey"), F.col("l_linenumber")), F.concat(F.lit("U:"), iri("part", F.col("l_partkey")))
+        s, o = iri("lineitem", *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]), F.concat(F.lit("U:"), iri("part", F.col("l_partkey")))
         edge = F.concat_ws("|", s, F.lit(BASE + "l_partkey"), o)
         row = lambda p, c: df.select(edge.alias("edge_id"), F.lit("").alias("g"), F.lit(BASE + p).alias("p"), terms.double(F.col(c)).alias("o"), F.lit(1).cast("bigint").alias("tt"))
         return row("quantity", "l_quantity").unionByName(row("discount", "l_discount"))
