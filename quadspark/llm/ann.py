@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import Scratch
+from quadspark.llm.common import Scratch, releasing
 from quadspark.llm.labelled import unit_hash
 
 BLOCK = 4096  # rows of a leaf that one group of queries meets at once
@@ -175,7 +175,7 @@ def search(
 
     # of equal vectors no query needs more than the k + 1 of least id
     rank = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
-    index = rows.withColumn("r", rank).where(F.col("r") <= k + 1).select("id", "v").mapInArrow(place, "id bigint, v array<double>, leaf int")
+    index = rows.withColumn("r", rank).where(F.col("r") <= k + 1).select("id", "v").mapInArrow(releasing(place), "id bigint, v array<double>, leaf int")
     index = scratch.save(index, "index")
 
     sizes = index.groupBy("leaf").count()
@@ -201,7 +201,7 @@ def search(
     for leaf, count in sizes.items():
         blocks = F.when(F.col("leaf") == leaf, count).otherwise(blocks)
     dealt = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("side", F.lit(0))
-    asks = asked.mapInArrow(visit, "id bigint, v array<double>, leaf int, block int, side int")
+    asks = asked.mapInArrow(releasing(visit), "id bigint, v array<double>, leaf int, block int, side int")
     met = dealt.select("id", "v", "leaf", "block", "side").unionByName(asks)
     met = met.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "side")
 
@@ -242,7 +242,7 @@ def search(
                         best = {}
         yield emit(best)
 
-    found = met.mapInArrow(compare, "query_id bigint, vec_id bigint, score double")
+    found = met.mapInArrow(releasing(compare), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -264,7 +264,7 @@ def brute_force(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, dim: int,
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c).take(take) for c in extra], names=["query", "vec_id", "score", *extra])
 
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join(["query int, vec_id bigint, score double", *[f"{c} {kinds[c]}" for c in extra]]))
+    out = rows.mapInArrow(releasing(run), ", ".join(["query int, vec_id bigint, score double", *[f"{c} {kinds[c]}" for c in extra]]))
     order = Window.partitionBy("query").orderBy("score", "vec_id")
     return out.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import map_texts
+from quadspark.llm.common import map_texts, releasing
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -180,7 +180,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, id_co
             )
 
     kind = picked.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, bytes binary, text string")
+    return picked.mapInArrow(releasing(run), f"`{id_col}` {kind}, bytes binary, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,9 @@ Conventions held by every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,7 +28,7 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 #: Texts are worked on in slices of about this many characters, so that one Arrow batch of long
 #: texts does not blow up a Python worker. A longer text is a slice of its own.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 # --- scratch tables -----------------------------------------------------------------------
@@ -63,6 +66,26 @@ class Scratch:
                 raise
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system, as Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The batch function, with :func:`release_memory` at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 # --- Arrow batches ------------------------------------------------------------------------
 
 def slices(sizes: Iterable[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -108,7 +131,7 @@ def map_texts(
                 arrays += [pa.array(got[f.name], type=f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *schema.names])
 
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(releasing(run), out)
 
 
 def _ddl(kind: pa.DataType) -> str:

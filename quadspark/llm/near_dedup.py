@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import Scratch, WordHasher, map_texts, shingles
-from quadspark.llm.graphs import components
+from quadspark.llm.common import Scratch, WordHasher, map_texts, releasing, shingles
+from quadspark.llm.graphs import TASK_EDGES, components
 
 ROWS = 4  # hashes a band
 BATCH = 16  # hashes compared before the posterior is looked at again
@@ -131,7 +131,7 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[list[dict]], Iter
         out.extend(work(held) if held else [])
         yield _edges(out)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -182,7 +182,7 @@ def bucket_edges(members: DataFrame, posterior: Posterior) -> DataFrame:
         if held is not None:
             yield _edges(forest(*held))
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def verified(percent: int, posterior: Posterior, across: bool = False) -> Callable[[list[dict]], Iterator[tuple[int, int]]]:
@@ -223,6 +223,11 @@ def verified(percent: int, posterior: Posterior, across: bool = False) -> Callab
     return work
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for a table of ids, by its measured length."""
+    return 2 + df.count() // TASK_EDGES
+
+
 def _counted(df: DataFrame, by: str, name: str) -> DataFrame:
     return df.join(df.groupBy(by).agg(F.count(F.lit(1)).alias(name)), by)
 
@@ -246,11 +251,12 @@ def _links(groups: DataFrame, percent: int, posterior: Posterior, scratch: Scrat
     # large groups: what is outside the largest part, against all that is in another part
     parts = components(links, scratch, "parts")
     own = large.join(parts, large.rep == parts.node, "left").select("cand", "rep", F.coalesce("label", "rep").alias("part"))
-    own = scratch.save(own, "own")
+    tasks = _tasks(large.select("cand"))
+    own = scratch.save(own.coalesce(tasks), "own")
     counts = own.groupBy("cand", "part").agg(F.count(F.lit(1)).alias("c"))
     most = counts.groupBy("cand").agg(F.max(F.struct("c", F.col("part").alias("main"))).alias("m"), F.sum("c").alias("all")).select("cand", "m.main", (F.col("all") - F.col("m.c")).alias("outside"), "all")
     rest = own.join(most.where("outside > 0"), "cand").withColumn("n0", F.ceil(F.col("outside") / BLOCK)).withColumn("n1", F.ceil(F.col("all") / BLOCK))
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(rest.coalesce(tasks), "rest")
     if rest.isEmpty():
         return links
     h = F.xxhash64("rep")
@@ -294,7 +300,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     scratch.drop("members")
 
     cands = components(edges, scratch, "cands").select(F.col("node").alias("rep"), F.col("label").alias("cand"))
-    cands = scratch.save(_counted(cands, "cand", "size"), "sized")
+    cands = scratch.save(_counted(cands, "cand", "size").coalesce(_tasks(cands)), "sized")
     texts = plain.join(cands, plain["__id"] == cands.rep).select("cand", "size", "rep", "__text")
     groups = scratch.save(_with_sets(texts, width, k), "groups")
     links = _links(groups, percent, posterior, scratch)

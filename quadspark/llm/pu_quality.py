@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import SPACES, WordHasher, map_texts, shingles, slices
+from quadspark.llm.common import SPACES, WordHasher, map_texts, releasing, shingles, slices
 from quadspark.llm.labelled import labelled_sample, unit_hash
 from quadspark.llm.toxicity import logistic
 
@@ -163,7 +163,7 @@ def _vectors(rows: DataFrame) -> np.ndarray:
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(list(features([t or "" for t in column.slice(a, b - a).to_pylist()])), pa.list_(pa.float64()))], names=["x"])
 
-    got = rows.select("text").mapInArrow(run, "x array<double>").toPandas()
+    got = rows.select("text").mapInArrow(releasing(run), "x array<double>").toPandas()
     x = np.stack(got.x.to_numpy()) if len(got) else np.zeros((0, len(Features.names)))
     return x[np.lexsort(x.T)] if len(x) else x  # by value, so that the order of tasks does not matter
 

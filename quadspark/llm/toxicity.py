@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import Scratch, WordHasher, map_texts, slices
+from quadspark.llm.common import Scratch, WordHasher, map_texts, releasing, slices
 from quadspark.llm.labelled import labelled_sample
 
 #: Buckets of words, as a power of two; the tables over words are bounded by it.
@@ -136,7 +136,7 @@ def shared_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text") ->
         for k in range(0, len(at), 50_000):
             yield _emit({"bucket": at[k : k + 50_000].astype(np.int32), "mask": masks[at[k : k + 50_000]].view(np.int64)})
 
-    masks = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket int, mask bigint")
+    masks = docs.select(F.col(text_col).cast("string")).mapInArrow(releasing(run), "bucket int, mask bigint")
     counts = scratch.save(masks.groupBy("bucket").agg(F.bit_count(F.bit_or("mask")).cast("short").alias("n")), "shared")
     out = np.zeros(1 << WORD_BITS, np.float32)
     for bucket, n in _parts(counts, "bucket"):
@@ -164,7 +164,7 @@ def class_counts(rows: DataFrame, scratch: Scratch) -> dict[str, np.ndarray]:
                     keys, n = np.unique(bucket * 2 + label, return_counts=True)
                     yield _emit({"kind": np.full(len(keys), kind, np.int32), "key": keys, "n": n})
 
-    counts = rows.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(releasing(run), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     out = {"word": np.zeros((2, 1 << WORD_BITS), np.int32), "context": np.zeros((2, 1 << WORD_BITS), np.int32), "follow": np.zeros((2, 1 << WORD_BITS), np.float32)}
     for key, n in _parts(counts.where("kind = 0").select("key", F.col("n").cast("int")), "key"):
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
                 x = holder.value.features([t or "" for t in column.slice(a, b - a).to_pylist()], hasher, labels)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    seen = rows.select("label", "text").mapInArrow(run, "label int, x array<double>").toPandas()
+    seen = rows.select("label", "text").mapInArrow(releasing(run), "label int, x array<double>").toPandas()
     model.weights = np.zeros(2)
     if seen.label.nunique() == 2:
         # rows weigh as the labels are spread, not as the sample is
