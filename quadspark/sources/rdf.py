@@ -193,9 +193,13 @@ def parse_jsonld(text: str, graph: str = "", base: str = "urn:q", import_id: str
                         rows.append((g, s, expand(key, context), value(item, context, g, kind)))
         return s
 
-    data = json.loads(text)
-    for item in data if isinstance(data, list) else [data]:
-        walk(item, {}, graph)
+    # one document, or one object a line as :func:`jsonld` writes them
+    decoder, at = json.JSONDecoder(), 0
+    while at < len(text.rstrip()):
+        at += len(text[at:]) - len(text[at:].lstrip())
+        data, at = decoder.raw_decode(text, at)
+        for item in data if isinstance(data, list) else [data]:
+            walk(item, {}, graph)
     return rows
 
 
