@@ -83,13 +83,15 @@ class Parser:
         self.tables, self.bits = [], []
         for lang in self.langs:
             moves = suffix_automaton([int(self.code[c]) for c in texts[lang]])
-            # an entry is (first index of the next state's row) * 2 + whether a phrase ended
-            table = np.ones((len(moves), self.width), np.int32)
+            # an entry is (first index of the next state's row) * 4 + how many phrases ended: none on a
+            # match, the one before a character that begins the next, and a character known nowhere too
+            table = np.full((len(moves), self.width), 2, np.int32)
+            table[0] = 1
             for c, q in moves[0].items():
-                table[:, c] = (q * self.width) * 2 + 1
+                table[:, c] = (q * self.width) * 4 + 1
             for state, by in enumerate(moves):
                 for c, q in by.items():
-                    table[state, c] = (q * self.width) * 2
+                    table[state, c] = (q * self.width) * 4
             self.tables.append(table.ravel())
             self.bits.append(float(np.log2(len(texts[lang]) + 1)))
 
@@ -106,10 +108,10 @@ class Parser:
             state, count = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int32)
             for row, m in zip(grid, active, strict=True):
                 step = table[state[:m] + row[:m]]
-                count[:m] += step & 1
-                state[:m] = step >> 1
-            out[order, n] = count
-        return out + (lengths > 0)[:, None]  # the last phrase is cut off by the end
+                count[:m] += step & 3
+                state[:m] = step >> 2
+            out[order, n] = count + (state > 0)  # the end cuts off a phrase that has begun
+        return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character by language, and the number of characters walked, for each text."""
