@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadspark.llm import bpe, language_id, mixing, near_dedup, secret_scan
-from quadspark.llm.common import Scratch
+from quadspark.scratch import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "one-of-each")
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
     times = scratch.save(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(times, docs.doc_id.eqNullSafe(times.doc_id), "left_semi")
+    # what is kept grows with the corpus: a shuffle at every size, never a broadcast
+    out = docs.join(times.hint("merge"), docs.doc_id.eqNullSafe(times.doc_id), "left_semi")
     # rows that share an id are one document
     return out if times.where("n > 1 AND doc_id IS NOT NULL").isEmpty() else out.dropDuplicates(["doc_id"])
 

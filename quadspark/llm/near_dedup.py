@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import Scratch, WordHasher, map_texts, releasing, shingles
+from quadspark.llm.common import WordHasher, map_texts, releasing, shingles
 from quadspark.llm.graphs import TASK_EDGES, components
+from quadspark.scratch import Scratch
 
 ROWS = 4  # hashes a band
 BATCH = 16  # hashes compared before the posterior is looked at again
@@ -301,7 +302,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
     cands = components(edges, scratch, "cands").select(F.col("node").alias("rep"), F.col("label").alias("cand"))
     cands = scratch.save(_counted(cands, "cand", "size").coalesce(_tasks(cands)), "sized")
-    texts = plain.join(cands, plain["__id"] == cands.rep).select("cand", "size", "rep", "__text")
+    # candidates grow with the corpus, so the join is the same shuffle at every size, never a broadcast
+    texts = plain.join(cands.hint("merge"), plain["__id"] == cands.rep).select("cand", "size", "rep", "__text")
     groups = scratch.save(_with_sets(texts, width, k), "groups")
     links = _links(groups, percent, posterior, scratch)
     labels = components(links, scratch, "labels")
