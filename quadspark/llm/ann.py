@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import Scratch, releasing
+from quadspark.llm.common import releasing
 from quadspark.llm.labelled import unit_hash
+from quadspark.scratch import Scratch
 
 BLOCK = 4096  # rows of a leaf that one group of queries meets at once
 

@@ -1,4 +1,4 @@
-"""Shared parts of the operators: scratch tables, Arrow batch mapping, word hashing on whole batches.
+"""Shared parts of the operators: Arrow batch mapping, word hashing on whole batches.
 
 Conventions held by every operator of this subpackage:
 
@@ -10,16 +10,14 @@ Conventions held by every operator of this subpackage:
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes: space, tab, LF, VT, FF, CR.
@@ -31,41 +29,6 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SLICE_CHARS = 1 << 18
 
 
-# --- scratch tables -----------------------------------------------------------------------
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file:///tmp/checkpoints"
-    return root.rstrip("/") + "/quadspark"
-
-
-class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete the named tables, or all of them."""
-        try:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            for name in names or ("",):
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-                path.getFileSystem(conf).delete(path, True)
-        except Exception:  # the session may be gone at exit; what is left is only scratch
-            if names:
-                raise
-
-
 def release_memory() -> None:
     """Give what a task has freed back to the system, as Python workers live on between tasks."""
     gc.collect()

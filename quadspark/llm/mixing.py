@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import WORD, Scratch
+from quadspark.llm.common import WORD
+from quadspark.scratch import Scratch
 
 #: Rows of a slice of one source; a window sorts about this many at once.
 SLICE_ROWS = 20_000

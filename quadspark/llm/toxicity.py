@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.llm.common import Scratch, WordHasher, map_texts, releasing, slices
+from quadspark.llm.common import WordHasher, map_texts, releasing, slices
 from quadspark.llm.labelled import labelled_sample
+from quadspark.scratch import Scratch
 
 #: Buckets of words, as a power of two; the tables over words are bounded by it.
 WORD_BITS = 20
