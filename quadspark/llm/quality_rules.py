@@ -8,6 +8,7 @@ distribution. A text goes when a measure leaves the band of its main script.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,20 +80,14 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
             n_dup += line in seen
             seen.add(line)
     covered = 0
-    if n > 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        first: dict[tuple, int] = {}
-        again = bytearray(len(windows))
-        for k, window in enumerate(windows):
-            j = first.setdefault(window, k)
-            if j != k:
-                again[j] = again[k] = 1
-        if any(again):
-            hit = np.frombuffer(again, np.uint8)
-            cover = np.zeros(n, bool)
-            for shift in range(3):
-                cover[shift : shift + len(hit)] |= hit.astype(bool)
-            covered = int(cover.sum())
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) < len(windows):
+        times = Counter(windows)
+        hit = np.fromiter((times[w] > 1 for w in windows), bool, len(windows))
+        cover = np.zeros(n, bool)
+        for shift in range(3):
+            cover[shift : shift + len(hit)] |= hit
+        covered = int(cover.sum())
     return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), n_dup, covered
 
 
