@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from quadspark.functions import terms
 from quadspark.functions.terms import OWL, RDF_TYPE, RDFS, Value
-from quadspark.operators import access, ontology, owl, recursion, shacl, snapshot, vectors
+from quadspark.operators import access, ontology, owl, shacl, snapshot, vectors
 from quadspark.operators.snapshot import END, Snapshot
 from quadspark.operators.store import Store
 from quadspark.plans.build import Builder, Solutions
 from quadspark.plans.cypher import Cypher
-from quadspark.plans.patterns import ANY, UNION, Graph, Pattern, Query, Rule, Var, Vocabulary
+from quadspark.plans.patterns import ANY, Graph, Pattern, Query, Rule, Var, Vocabulary
 from quadspark.plans.sparql import Sparql
 from quadspark.scratch import Scratch
 from quadspark.sources import rdf
@@ -794,6 +794,3 @@ def shop_q11_count(spark, folder):
 @query("SELECT DISTINCT 'urn:d:part:' || l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 12")
 def shop_q12_reviewed(spark, folder):
     return texts(sparql(spark, folder, "SELECT DISTINCT ?p { ?o d:o_custkey <urn:d:customer:12> . ?l d:l_orderkey ?o ; d:l_partkey ?p }").solutions, p="p")
-
-
-__all__ = ["QUERIES", "SQL", "UNION", "recursion"]

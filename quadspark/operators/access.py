@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.functions import terms
 from quadspark.operators.snapshot import END, INFERRED
 
 #: Levels in their order; a higher one includes the lower ones.
@@ -100,6 +99,3 @@ def counters(deltas: DataFrame) -> DataFrame:
     total = F.sum(F.col("delta").cast("decimal(38,0)"))
     held = F.greatest(F.lit(-(1 << 63)).cast("decimal(38,0)"), F.least(F.lit(END).cast("decimal(38,0)"), total))
     return deltas.groupBy("namespace", "node").agg(held.cast("bigint").alias("value"))
-
-
-__all__ = [n for n in dir() if n[0] != "_" and n != "terms"] + ["terms"]

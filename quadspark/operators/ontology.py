@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadspark.functions import terms
 from quadspark.functions.terms import OWL, RDF_TYPE, RDFS, XSD, Value
 
 #: Field kinds and the term kinds they accept.
@@ -193,6 +192,3 @@ def schema_allows(registry: Registry, quads: DataFrame, predicate: str, node: st
     want = getattr(e, end) if e else None
     types = quads.where((F.col("s") == node) & (F.col("p") == RDF_TYPE)).select(F.col("o.str").alias("type"))
     return types if want is None else types.where(F.col("type").isin(*(registry.subtypes(want) or [want])))
-
-
-__all__ = ["EdgeType", "Field", "NodeType", "Registry", "schema_allows", "terms"]

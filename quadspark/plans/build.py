@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quadspark.functions import terms
 from quadspark.operators import recursion
 from quadspark.operators.snapshot import Snapshot
-from quadspark.plans.patterns import ANY, UNION, Graph, Pattern, Query, Rule, Value, Var
+from quadspark.plans.patterns import UNION, Pattern, Query, Rule, Value, Var
 from quadspark.scratch import Scratch
 
 
@@ -199,6 +199,3 @@ def explain(patterns: list[Pattern], rules: list[Rule] = ()) -> list[dict]:
         out.append({"step": n, "reads": "derived" if recursive and p.hops is None else index[bound[0] * 4 + bound[1] * 2 + bound[2]], "binds": fresh, "recursive": recursive})
         known |= set(fresh)
     return out
-
-
-__all__ = ["ANY", "Builder", "Graph", "Solutions", "explain", "join", "one_row", "union"]

@@ -489,6 +489,3 @@ def _regex_ok(pattern: str) -> bool:
         return True
     except re.error:
         return False
-
-
-__all__ = ["Cypher", "parse"]

@@ -490,6 +490,3 @@ def _has_aggregate(e) -> bool:
 
 def _has_exists(e) -> bool:
     return any(isinstance(x, tuple) and x and x[0] == "exists" for x in _walk(e))
-
-
-__all__ = ["Result", "Sparql"]

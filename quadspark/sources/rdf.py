@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadspark.functions import terms
-from quadspark.functions.terms import RDF, RDF_TYPE, XSD, Value, parse_literal
+from quadspark.functions.terms import RDF, RDF_TYPE, Value, parse_literal
 from quadspark.operators.snapshot import edge_id
 from quadspark.plans.patterns import Var
 from quadspark.plans.sparql_parser import Parser
@@ -344,6 +344,3 @@ def results_json(df: DataFrame, names: list[str]) -> DataFrame:
 
 def results_csv(df: DataFrame, names: list[str], path: str) -> None:
     df.select(*[terms.lexical(F.col(f"`{n}`")).alias(n) for n in names]).write.mode("overwrite").csv(path, header=True)
-
-
-__all__ = [n for n in dir() if n[0] != "_" and n != "XSD"]
