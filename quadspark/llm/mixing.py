@@ -18,7 +18,7 @@ from quadspark.llm.common import WORD
 from quadspark.scratch import Scratch
 
 #: Rows of a slice of one source; a window sorts about this many at once.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 1_000
 
 
 def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], most: float) -> DataFrame:
