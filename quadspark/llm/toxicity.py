@@ -2,8 +2,9 @@
 
 Two bigram models, of toxic and of ordinary labelled texts, back off to class unigrams and these to
 one shared distribution: continuation counts of words over all documents. A word's continuation
-count is the number of different words before it; it is gathered as a 64-bit sketch of hashed
-predecessors, which tasks OR together, so it costs one bounded table whatever the corpus. A text's
+count is the number of different words before it. It is gathered for each word (by its full 64-bit
+hash) as bitmaps of hashed predecessors at halving rates, which tasks OR together: they do not
+saturate, and a word costs a row for each bitmap in use, about the logarithm of its count. A text's
 statistic is the difference of its two log-likelihoods per word; a logistic fit on the
 labelled rows, each without its own counts, turns it into a score.
 """
@@ -21,8 +22,16 @@ from quadspark.llm.common import WordHasher, map_texts, releasing, slices
 from quadspark.llm.labelled import labelled_sample
 from quadspark.scratch import Scratch
 
-#: Buckets of words, as a power of two; the tables over words are bounded by it.
+#: Buckets of words, as a power of two; the tables over words of the labelled sample are bounded by it.
 WORD_BITS = 20
+#: Bitmaps of predecessors: level l takes one in 2^(l + 1) of them, into QUARTERS masks of 64 bits.
+LEVELS, QUARTERS = 40, 4
+#: Levels with more bits set than this are left out of an estimate.
+FULL = 200
+#: Stands before a text's first word.
+_START = np.uint64(0xD6E8FEB86659FD93)
+#: Rows of masks that a task holds before it puts equal ones together.
+HELD = 1 << 20
 #: Pairs of words have more bits, as a false hit after a rare word would weigh much. Pairs seen once
 #: are left to the backoff, and so are not kept.
 PAIR_BITS = 42
@@ -53,7 +62,9 @@ class Model:
     word: np.ndarray  # (2, words) counts
     cut: np.ndarray  # discounts of words seen 0, 1, 2 and more times
     mass: np.ndarray  # (2, 1) what the discounts took from a class's words
-    shared: np.ndarray  # (words) the distribution that both classes back off to
+    common: np.ndarray  # hashes of the words with two predecessors or more, sorted
+    shared: np.ndarray  # (common) the distribution that both classes back off to
+    rare: float  # the same of any other word: it has one predecessor
     pairs: np.ndarray  # hashes of the pairs kept, sorted
     pair: np.ndarray  # (2, pairs) their counts
     context: np.ndarray  # (2, words) times a word comes before another
@@ -61,6 +72,12 @@ class Model:
     discount: np.ndarray  # of pairs seen 0, 1, 2 and more times
     weights: np.ndarray | None = None
 
+    def backoff(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.full(len(words), self.rare)
+        near = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
+        return np.where(self.common[near] == words, self.shared[near], self.rare)
+
     def gain(self, words: np.ndarray, bounds: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each text, the toxic one mixed with SHARE.
 
@@ -72,7 +89,7 @@ class Model:
         at = _bucket(words, WORD_BITS)
         n = self.word[:, at] - (0 if labels is None else _own(owner, at, labels))
         total = self.word.sum(1, keepdims=True)
-        low = (np.maximum(n - self.cut[np.clip(n, 0, 3)], 0) + np.maximum(self.mass, 1) * self.shared[at]) / np.maximum(total, 1)
+        low = (np.maximum(n - self.cut[np.clip(n, 0, 3)], 0) + np.maximum(self.mass, 1) * self.backoff(words)) / np.maximum(total, 1)
         logs = np.log(low)
         inner = owner[1:] == owner[:-1]
         if inner.any() and len(self.pairs):
@@ -119,30 +136,85 @@ def _parts(df: DataFrame, key: str, parts: int = 8):
         yield [got.column(c).to_numpy() for c in got.column_names]
 
 
-def shared_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> np.ndarray:
-    """Estimated number of different words before each word bucket, over all documents."""
+def sketch(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(word, slot, mask)`` of words and hashes of what stands before each; a slot is a quarter of a level."""
+    level = np.minimum(np.bitwise_count((before & (~before + np.uint64(1))) - np.uint64(1)), LEVELS - 1).astype(np.int64)
+    place = before >> np.uint64(56)
+    return merged(words, level * QUARTERS + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+
+
+def merged(words: np.ndarray, slots: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one word and slot as one."""
+    if not len(words):
+        return words, slots, masks
+    key = words ^ (slots.astype(np.uint64) + np.uint64(1)) * _PAIR
+    order = np.argsort(key)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    return words[order[starts]], slots[order[starts]], np.bitwise_or.reduceat(masks[order], starts)
+
+
+def estimates(bits: np.ndarray) -> np.ndarray:
+    """Numbers of different things from the bits set at each level, a row a word.
+
+    The levels from the first that is not too full on are counted, each by its share of empty bits.
+    """
+    size = 64 * QUARTERS
+    counted = -size * np.log1p(-np.minimum(bits, size - 0.5) / size)
+    base = np.argmax(bits <= FULL, axis=1)
+    counted[np.arange(LEVELS) < base[:, None]] = 0
+    return counted.sum(1) * 2.0**base
+
+
+def shared_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the words with two or more different words before them over all documents, sorted;
+    the estimated number of these; and how many words have one."""
 
     def run(batches):
         hasher = WordHasher(alphanumeric=True)
-        masks = np.zeros(1 << WORD_BITS, np.uint64)
+        held, total, limit = [], 0, HELD
+
+        def emit(rows):
+            for k in range(0, len(rows[0]), 50_000):
+                word, slot, mask = (r[k : k + 50_000] for r in rows)
+                yield _emit({"word": word.view(np.int64), "slot": slot.astype(np.int32), "mask": mask.view(np.int64)})
+
         for batch in batches:
             column = batch.column(0)
             for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()):
                 words, bounds = hasher([t or "" for t in column.slice(a, b - a).to_pylist()])
-                before = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
-                before[bounds[:-1][bounds[:-1] < len(words)]] = 0  # a text's first word follows its start
-                bits = np.uint64(1) << (before * _PAIR >> np.uint64(58))
-                np.bitwise_or.at(masks, _bucket(words, WORD_BITS), bits)
-        at = np.flatnonzero(masks)
-        for k in range(0, len(at), 50_000):
-            yield _emit({"bucket": at[k : k + 50_000].astype(np.int32), "mask": masks[at[k : k + 50_000]].view(np.int64)})
-
-    masks = docs.select(F.col(text_col).cast("string")).mapInArrow(releasing(run), "bucket int, mask bigint")
-    counts = scratch.save(masks.groupBy("bucket").agg(F.bit_count(F.bit_or("mask")).cast("short").alias("n")), "shared")
-    out = np.zeros(1 << WORD_BITS, np.float32)
-    for bucket, n in _parts(counts, "bucket"):
-        out[bucket] = -64 * np.log1p(-np.minimum(n, 63.5) / 64)
-    return out
+                before = np.concatenate([np.full(1, _START), words[:-1]]) if len(words) else words
+                before[bounds[:-1][bounds[:-1] < len(words)]] = _START
+                held.append(sketch(words, before))
+                total += len(held[-1][0])
+                if total > limit:
+                    held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
+                    total = len(held[0][0])
+                    if total > limit // 2:
+                        yield from emit(held[0])
+                        held, total = [], 0
+        if held:
+            yield from emit(merged(*map(np.concatenate, zip(*held, strict=True))))
+
+    masks = docs.select(F.col(text_col).cast("string")).mapInArrow(releasing(run), "word bigint, slot int, mask bigint")
+    slots = masks.groupBy("word", "slot").agg(F.bit_count(F.bit_or("mask")).cast("int").alias("bits"))
+    by_word = slots.groupBy("word").agg(F.sum("bits").alias("ones"), F.collect_list(F.struct("slot", "bits")).alias("slots"))
+    by_word = scratch.save(by_word.select("word", "ones", F.when(F.col("ones") > 1, F.col("slots")).alias("slots")), "shared")
+
+    def count(batches):
+        for batch in batches:
+            at = batch.column("slots")
+            found = at.flatten()
+            owner = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+            bits = np.zeros((len(at), LEVELS))
+            np.add.at(bits, (owner, found.field("slot").to_numpy() // QUARTERS), found.field("bits").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(estimates(bits).astype(np.float32))], names=["word", "n"])
+
+    often = scratch.save(by_word.where("ones > 1").select("word", "slots").mapInArrow(releasing(count), "word bigint, n float"), "often")
+    single = by_word.where("ones = 1").count()
+    parts = list(_parts(often, "word"))
+    words = np.concatenate([w.view(np.uint64) for w, _ in parts])
+    order = np.argsort(words)
+    return words[order], np.concatenate([n for _, n in parts])[order], single
 
 
 def class_counts(rows: DataFrame, scratch: Scratch) -> dict[str, np.ndarray]:
@@ -212,13 +284,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     the share of toxic ones (0 without any)."""
     chosen, total = labelled_sample(labels, label_col, max_rows, fold, id_col)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    shared = shared_counts(docs, scratch, text_col)
+    common, shared, single = shared_counts(docs, scratch, text_col)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
     counts = class_counts(rows.select("label", "text"), scratch)
     cut = discounts(*np.bincount(np.minimum(counts["word"].ravel(), 5), minlength=6)[1:5])
-    smoothed = (shared + 0.1) / (shared + 0.1).sum()
+    total_shared = shared.sum(dtype=np.float64) + 0.1 * len(shared) + 1.1 * (single + 1)  # and one word that is nowhere
     mass = np.stack([[np.minimum(n, cut[np.minimum(n, 3)]).sum()] for n in counts["word"]])
-    model = Model(counts["word"], cut, mass, smoothed.astype(np.float32), counts["pairs"], counts["pair"], counts["context"], counts["follow"], counts["discount"])
+    model = Model(counts["word"], cut, mass, common, ((shared + 0.1) / total_shared).astype(np.float32), 1.1 / total_shared, counts["pairs"], counts["pair"], counts["context"], counts["follow"], counts["discount"])
 
     holder = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -247,6 +247,19 @@ def test_toxicity(made, odd, empty):
     assert all(r.score < 0.01 for r in toxicity.score(odd, none).collect())
 
 
+def test_toxicity_backoff_counts_do_not_saturate(spark):
+    """Words with from one to 20,000 different words before them, over several tasks."""
+    from quadspark.scratch import Scratch
+
+    sizes = {"aa": 1, "bb": 2, "cc": 40, "dd": 1000, "ee": 20_000}
+    rows = [(" ".join(f"{w}p{i} {w}" for i in range(k, min(n, k + 500))),) for w, n in sizes.items() for k in range(0, n, 500)]
+    words, counts, single = toxicity.shared_counts(spark.createDataFrame(rows * 2, "text string").repartition(3), Scratch(spark, "test"))
+    of = dict(zip(words.tolist(), counts.tolist(), strict=True))
+    got = {w: of.get(int(WordHasher(alphanumeric=True)([w])[0][0]), 1.0) for w in sizes}
+    assert got["aa"] == 1 and abs(got["bb"] - 2) < 0.1 and all(abs(got[w] / n - 1) < 0.3 for w, n in sizes.items())
+    assert abs(single + len(words) - sum(sizes.values()) - len(sizes)) < 5  # no two words share a count
+
+
 def test_quality_classifier(made, odd, empty):
     docs, labels = made
     net = pu_quality.fit(docs, labels)
