@@ -201,7 +201,7 @@ def verified(percent: int, posterior: Posterior, across: bool = False) -> Callab
         label = np.array([r["part"] for r in rows]) if across else np.arange(len(rows))
         side = np.array([r["side"] for r in rows]) if across else None
         found = []
-        for i in range(len(rows) - 1):
+        for i in range(len(rows)):
             if across and side[i]:
                 continue
             j = np.flatnonzero(label != label[i]) if across else np.arange(i + 1, len(rows))

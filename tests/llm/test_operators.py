@@ -407,6 +407,16 @@ def test_near_duplicates_against_brute_force(spark, docs, odd, monkeypatch):
     assert len(got) == 11 and all(r.kept for r in got) and [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("sides", [(1, 0), (0, 1)])
+def test_across_takes_every_row_of_side_0(sides):
+    """Wherever the row outside the main part stands in its block, it meets those of side 1."""
+    posterior = near_dedup.Posterior(80, 85, 1e-6)
+    h = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sig = near_dedup.MinHash(80)(h, np.array([0, 100]))[0].tobytes()
+    rows = [{"sig": sig, "shingles": np.sort(h).tobytes(), "rep": n, "part": n, "side": side} for n, side in enumerate(sides)]
+    assert {frozenset(e) for e in near_dedup.verified(85, posterior, across=True)(rows)} == {frozenset((0, 1))}
+
+
 def test_near_duplicates_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
