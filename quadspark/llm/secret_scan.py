@@ -1,8 +1,9 @@
 """Secret scans over nested encodings.
 
 A worklist starts with the text as it is. Each layer is scanned, then unwrapped: URL escapes and
-Unicode escapes decode in place, a base64 run becomes a layer of its own, compressed bytes are
-inflated. Every character of a layer knows the span of the original text that it came from, so a
+Unicode escapes decode in place, a base64 run (joined over line ends) becomes a layer of its own at
+each of the four alignments, compressed bytes are inflated from wherever their mark stands in a run.
+Bytes that are no text are replaced, never a reason to drop a layer. Every character of a layer knows the span of the original text that it came from, so a
 finding in any layer maps back. A layer already seen (same text, same place) is not taken up again,
 and unwrapping stops when no layer is new.
 """
@@ -10,14 +11,16 @@ and unwrapping stops when no layer is new.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +35,15 @@ KINDS = ("assign", "access", "hex")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})(?:\\u([0-9A-Fa-f]{4}))?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: A run, with the lines that it goes on in; 12 characters or more in all.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}+|[A-Za-z0-9+/_-]{4,}+(?=[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]))(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]++)*={0,2}")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+#: How compressed bytes begin in base64, as whole groups: gzip, zlib, bzip2, xz, zstd.
+_PACKED = re.compile(r"(?=H4s|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|Qlpo|/Td6WFo|KLUv)")
+#: Decoded bytes without any of these hold no finding and nothing to unwrap.
+_WORTH = re.compile(rb"[A-Za-z0-9+/_-]{12}|[A-Za-z0-9+/_-]{4}[\x20\t]*\r?\n|%[0-9A-Fa-f]{2}|\\[uUx]|&#|password|passwd|secret|token|api_?key", re.IGNORECASE)
+#: ASCII in UTF-16 or UTF-32, of either byte order.
+_WIDE = re.compile(rb"(?:[\t-\x7e]\0+){6}")
 #: Unwrapped bytes of one layer are at most this many; a larger one (a decompression bomb) is not
 #: unwrapped, and the row's ``oversized`` counts it.
 MAX_LAYER = 64 << 20
@@ -116,64 +127,111 @@ class TooLarge(Exception):
     pass
 
 
+_MAKERS = {"gzip": (b"\x1f\x8b", lambda: zlib.decompressobj(31)), "zlib": (b"\x78", zlib.decompressobj), "bzip2": (b"BZh", bz2.BZ2Decompressor), "xz": (b"\xfd7zXZ\x00", lzma.LZMADecompressor)}
+
+
 def inflate(raw: bytes) -> tuple[bytes, str] | None:
-    """What compressed bytes hold and the format's name; None if they are not compressed."""
-    makers = {"gzip": (b"\x1f\x8b", lambda: zlib.decompressobj(31)), "zlib": (b"\x78", zlib.decompressobj), "bzip2": (b"BZh", bz2.BZ2Decompressor), "xz": (b"\xfd7zXZ\x00", lzma.LZMADecompressor)}
-    for name, (magic, maker) in makers.items():
-        if raw.startswith(magic):
+    """What compressed bytes hold, all members of one format in a row, and the format's name; None
+    if they are not compressed."""
+    for name, (magic, maker) in _MAKERS.items():
+        out, rest = [], raw
+        while rest.startswith(magic):
+            reader = maker()
             try:
-                out = maker().decompress(raw, MAX_LAYER + 1)
+                out.append(reader.decompress(rest, MAX_LAYER + 1))
             except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-                continue
-            if len(out) > MAX_LAYER:
+                break
+            if sum(map(len, out)) > MAX_LAYER:
                 raise TooLarge
-            if out:
-                return out, name
+            rest = reader.unused_data.lstrip(b"\0") if reader.eof else b""
+        if any(out):
+            return b"".join(out), name
     if raw.startswith(b"\x28\xb5\x2f\xfd"):
         import zstandard
 
+        out, size = [], 0
+        reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
         try:
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(MAX_LAYER + 1)
+            while got := reader.read(1 << 20):
+                out.append(got)
+                size += len(got)
+                if size > MAX_LAYER:
+                    raise TooLarge
         except zstandard.ZstdError:
-            return None
-        if len(out) > MAX_LAYER:
-            raise TooLarge
-        return (out, "zstd") if out else None
+            pass  # what follows the last whole frame is no frame
+        return (b"".join(out), "zstd") if out else None
     return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _decode(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _layers(raw: bytes, steps: tuple[str, ...], places: Callable[[int, int], tuple[int, int]] | None, whole: tuple[int, int]) -> list[Layer]:
+    """Layers of decoded bytes: as UTF-8, and without NULs if they look like wider characters.
+
+    ``places`` gives the span of the bytes of a range; without it each has the whole one.
+    """
+    out = []
+    wide = [(raw.replace(b"\0", b""), (*steps, "utf-16"))] if _WIDE.search(raw) else []
+    for data, path in [(raw, steps), *wide]:
+        if not _WORTH.search(data):
+            continue
+        if places is None or data is not raw:
+            text = data.decode("utf-8", "replace")
+            out.append(Layer(text, [whole[0]] * len(text), [whole[1]] * len(text), path))
+            continue
+        chars, starts, ends, at = [], [], [], 0
+        for char in data.decode("utf-8", "surrogateescape"):
+            stray = 0xDC80 <= ord(char) <= 0xDCFF
+            size = 1 if stray else len(char.encode())
+            start, end = places(at, at + size)
+            chars.append("\ufffd" if stray else char)
+            starts.append(start)
+            ends.append(end)
+            at += size
+        out.append(Layer("".join(chars), starts, ends, path))
+    return out
 
 
 def _base64(layer: Layer, oversized: list[int]) -> list[Layer]:
     out = []
     for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            raw, steps = base64.b64decode(body + "=" * (-len(body) % 4)), ["base64"]
-        except (binascii.Error, ValueError):
+        pieces = [(p.start(), p.end()) for p in _PIECE.finditer(layer.text, m.start(), m.end())]
+        body = "".join(layer.text[a:b] for a, b in pieces).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(body) < 12:
             continue
-        # compressed bytes, perhaps several times, and then text; cycles end by digest
-        seen = {hashlib.sha256(raw).digest()}
-        try:
-            while got := inflate(raw):
-                raw, name = got
-                steps.append(name)
-                if (digest := hashlib.sha256(raw).digest()) in seen:
-                    break
-                seen.add(digest)
-        except TooLarge:
-            oversized[0] += 1
-            continue
-        if (text := _readable(raw)) is not None:
-            start, end = layer.span(m.start(), m.end())
-            out.append(Layer(text, [start] * len(text), [end] * len(text), (*layer.path, *steps)))
+        firsts = list(accumulate((b - a for a, b in pieces[:-1]), initial=0))  # where each piece starts in the body
+        spans = [layer.span(a, b) for a, b in pieces]
+
+        def piece(at, firsts=firsts):
+            return bisect_right(firsts, at) - 1
+
+        for shift in range(4):
+            places = None
+            if len(pieces) > 1:
+
+                def places(a, b, shift=shift, spans=spans, piece=piece, last=len(body) - 1):
+                    """The pieces that hold the characters of bytes a to b."""
+                    return spans[piece(shift + a * 8 // 6)][0], spans[piece(min(shift + (b * 8 - 1) // 6, last))][1]
+
+            out += _layers(_decode(body[shift:]), (*layer.path, "base64"), places, (spans[0][0], spans[-1][1]))
+        for found in _PACKED.finditer(body):
+            at = found.start()
+            # compressed bytes, perhaps several times, and then text; cycles end by digest
+            steps, seen = ["base64"], set()
+            try:
+                raw = _decode(body[at:])
+                while got := inflate(raw):
+                    raw, name = got
+                    steps.append(name)
+                    if (digest := hashlib.sha256(raw).digest()) in seen:
+                        break
+                    seen.add(digest)
+                    out += _layers(raw, (*layer.path, *steps), None, (spans[piece(at)][0], spans[-1][1]))
+            except TooLarge:
+                oversized[0] += 1
     return out
 
 

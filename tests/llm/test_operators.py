@@ -5,6 +5,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -15,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -166,6 +168,35 @@ def test_secrets_in_layers(kind):
     assert "Tr0ub4dor" not in secret_scan.redact_text(text) and secret_scan.redact_text(text).endswith(" after")
 
 
+def whole_layers(secret):
+    raw, b64 = secret.encode(), lambda b: base64.b64encode(b).decode()
+    noise = bytes(random.Random(2).randrange(256) for _ in range(300))
+    wrapped = lambda b, end="\n": end.join(re.findall(".{1,76}", b64(b)))
+    return {
+        "no-break space": b64(f"a\u00a0\u3000\ufeff\u200d\x0c\0 {secret}\0".encode()), "not UTF-8": b64(b"\xff\xfe\x80 " + raw + b" \xe9\xff"),
+        "utf-16": b64(secret.encode("utf-16")), "utf-16-be": b64(("xé " + secret).encode("utf-16-be")), "utf-32": b64(secret.encode("utf-32")),
+        "gzip members": b64(gzip.compress(b"first ") + gzip.compress(raw)), "bzip2 members": b64(bz2.compress(b"first ") + bz2.compress(raw)), "xz members": b64(lzma.compress(b"first ") + b"\0" * 4 + lzma.compress(raw)),
+        "zstd frames": b64(zstandard.compress(b"first ") + zstandard.compress(raw)), "wrapped gzip": wrapped(gzip.compress(noise + b" " + raw)), "wrapped CRLF": wrapped(b"-" * 50 + b" " + raw + b" " + b"-" * 60, "\r\n"),
+        "path": "https://host/data/x/" + b64(raw), "packed in a path": "/files/ab-c_" + b64(zlib.compress(raw)), **{f"shift {k}": "A" * k + b64(raw) for k in (1, 2, 3)},
+    }
+
+
+@pytest.mark.parametrize("kind", list(whole_layers("x")))
+def test_secrets_whole_layers(kind):
+    secret = "password=Tr0ub4dor-and-3"
+    text = f"before é {whole_layers(secret)[kind]} after"
+    base, extra, _ = secret_scan.scan(text)
+    assert any(k == "assign" and value == secret for _, _, k, _, value in extra), extra
+    assert secret_scan.redact_text(text).endswith(" after") and secret_scan.redact_text(text).startswith("before é ")
+
+
+def test_wrapped_secret_has_the_span_of_its_lines():
+    lines = re.findall(".{1,40}", base64.b64encode(b"." * 45 + b" password=Tr0ub4dor-and-3 " + b"." * 60).decode())
+    text = "\n".join(lines)
+    (span,) = {s[:2] for s in secret_scan.scan(text)[1]}
+    assert span == (41, 41 + 40 + 1 + 40)
+
+
 def test_secret_worklist_ends():
     loop = base64.b64encode(b"%2541 " * 50).decode()
     assert secret_scan.scan(loop)[2] == 0
