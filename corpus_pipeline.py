@@ -26,8 +26,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = scratch.save(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     # what is kept grows with the corpus: a shuffle at every size, never a broadcast
     out = docs.join(times.hint("merge"), docs.doc_id.eqNullSafe(times.doc_id), "left_semi")
-    # rows that share an id are one document
-    return out if times.where("n > 1 AND doc_id IS NOT NULL").isEmpty() else out.dropDuplicates(["doc_id"])
+    if times.where("n > 1 AND doc_id IS NOT NULL").isEmpty():
+        return out
+    # rows that share an id are one document, the least row of them; rows without an id are each their own
+    others = [c for c in docs.columns if c != "doc_id"]
+    known = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
+    return known.select("doc_id", "row.*").select(*docs.columns).unionByName(out.where("doc_id IS NULL").select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -492,5 +492,14 @@ def test_pipeline_stages(spark, small, docs, odd, empty, reference):
         assert table.count() >= 0
 
 
+def test_repeated_ids_leave_rows_without_id(spark, docs, small):
+    """One repeated id must not make rows without an id one; of its rows the least is kept."""
+    rows = [(None, "first words of a text without any id", "en", "a", 36), (None, "quite another document that has none either", "en", "a", 43), (None, "and a third, unlike both of them", "en", "b", 32)]
+    rows += [(5, "a text that is there twice", "en", source, 26) for source in ("z", "b", "k")]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, docs.schema).repartition(3), small).collect()
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted(r[1] for r in rows[:3])
+    assert [r.source for r in got if r.doc_id == 5] == ["b"]
+
+
 def test_pipeline_runs(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
