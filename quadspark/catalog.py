@@ -126,6 +126,22 @@ def scan_full(spark, folder):
     return TableStore(spark, folder, small).snapshot().scan().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Tables and their columns that are predicates, for SQL over every table.
+WHOLE = {
+    "region": "r_name", "nation": "n_name n_regionkey", "customer": "c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_name s_nationkey s_acctbal", "part": "p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "documents": "text lang source n_chars", "labels": "quality toxic", "pages": "url html", "conversations": "role text",
+}
+WHOLE_SQL = "SELECT p, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{p}' AS p, count({c}) AS n FROM {t}" for t, columns in WHOLE.items() for p, c in [*((D + c, c) for c in columns.split()), (RDF_TYPE, "*")]) + ") GROUP BY p"
+
+
+@query(WHOLE_SQL)
+def scan_full_tables(spark, folder):
+    """The full scan over every table; scan_full is the one over region and nation."""
+    return store(spark, folder).scan().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 'urn:d:part:' || p_partkey AS s, p_name AS v FROM part WHERE contains(lower(p_name), 'red')")
 def text_search(spark, folder):
     return snapshot.text_search(store(spark, folder).scan(p=P("p_name")), "RED").select("s", F.col("o.str").alias("v"))
@@ -287,6 +303,13 @@ def predicate_variable(spark, folder):
     return texts(rows, p="p").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(WHOLE_SQL)
+def predicate_variable_tables(spark, folder):
+    """A pattern of three variables over every table and subject."""
+    rows = Builder(store(spark, folder), spark).scan(Pattern(V("s"), V("p"), V("o")))
+    return texts(rows, p="p").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 'urn:d:orders:' || o_orderkey AS o, o_orderstatus AS st FROM orders WHERE o_custkey IN (1, 2, 4)")
 def seeded_query(spark, folder):
     seed = spark.createDataFrame([(f"urn:d:customer:{k}",) for k in (1, 2, 4)], "c string").select(terms.node(F.col("c")).alias("c"))
