@@ -5,6 +5,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import inspect
 import lzma
 import random
 import re
@@ -329,6 +330,10 @@ def test_neighbours_recall(spark, small):
     assert hits / total >= 0.9
 
 
+def test_neighbours_recall_target():
+    assert inspect.signature(ann.search).parameters["recall"].default == 0.97
+
+
 def test_neighbours_odd(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 2.0]), (8, [1.0]), (None, [1.0, 1.0]), (2, [1.0, 0.0])]
     rows += [(k, [5.0, 5.0]) for k in range(100, 160)]
