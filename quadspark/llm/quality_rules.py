@@ -2,7 +2,13 @@
 
 Public vocabularies measure each text: characters per token under a byte-level BPE, the share of
 tokens that a piece vocabulary can only spell as raw bytes, and the entropy of the text's piece
-distribution. A text goes when a measure leaves the band of its main script.
+distribution. A text goes when a measure leaves the band of its kind: its main script, its stated
+language and its length class (a power of four of words), as entropy and fertility go with all three.
+
+Bands come from the documents themselves. Over the texts of a kind that pass the base rules, a band is
+the median and ``spread`` robust standard deviations (the quartiles' distance by 1.349) to both sides,
+so that junk under a quarter of a kind does not move it. A band is mixed with a fixed, wide one of the
+script, which counts as PRIOR texts: rare kinds have wide bands, at every size of the table.
 """
 
 from __future__ import annotations
@@ -14,9 +20,18 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quadspark.llm.common import WORD, map_texts
+from quadspark.scratch import Scratch
+
+
+#: Texts that a script's fixed band counts as.
+PRIOR = 20
+#: Robust standard deviations to both sides of the median, and the least of one for each measure.
+SPREAD = 3.5
+LEAST = {"chars_per_token": 0.08, "byte_share": 0.01, "token_entropy": 0.02}
 
 
 @dataclass(frozen=True)
@@ -44,7 +59,7 @@ SCRIPTS = {
     "indic": r"\u0900-\u0DFF",
     "cjk": r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF",
 }
-#: Other scripts and texts without letters have the band "other".
+#: The fixed bands. Letters of no script above have the band "other", texts without letters "none".
 BANDS = {
     "latin": Band(1.75, 8.0, 0.10, 0.60),
     "cyrillic": Band(0.6, 5.0, 0.10, 0.45),
@@ -54,6 +69,7 @@ BANDS = {
     "indic": Band(0.2, 4.0, 0.95, 0.30),
     "cjk": Band(0.25, 4.0, 0.70, 0.35),
     "other": Band(0.2, 8.0, 0.95, 0.30),
+    "none": Band(2.0, 8.0, 0.10, 0.60),
 }
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -61,12 +77,12 @@ _WORDS = re.compile(WORD)
 
 
 def main_script(text: str, patterns: dict[str, re.Pattern]) -> str:
-    """The script with most letters; ties go to the first of SCRIPTS."""
+    """The script with most letters; ties go to the first of SCRIPTS, texts without a letter are "none"."""
     if text.isascii():
-        return "latin" if patterns["latin"].search(text) else "other"
+        return "latin" if patterns["latin"].search(text) else "none"
     counts = {name: sum(map(len, p.findall(text))) for name, p in patterns.items()}
     best = max(counts, key=counts.get)
-    return best if counts[best] else "other"
+    return best if counts[best] else "other" if any(map(str.isalpha, text)) else "none"
 
 
 def base_rules(text: str) -> tuple[int, int, int, int, int]:
@@ -91,20 +107,17 @@ def base_rules(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), n_dup, covered
 
 
-def fertility(docs: DataFrame, bands: dict[str, Band] | None = None, bpe_path: str | None = None, piece_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, measures and verdict of every row.
+def measures(docs: DataFrame, bpe_path: str | None = None, piece_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """``(id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, script,
+    chars_per_token, byte_share, token_entropy)`` of every row, in one pass without a shuffle.
 
-    ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``base_failed`` (under 50
-    words, or over half of the words in repeated windows), ``kept`` (false if base_failed, else
-    whether all measures are within the script's band), ``script, chars_per_token, byte_share,
-    token_entropy``. A null or empty text has no words, so it fails; its measures are null.
+    A null or empty text has no words, so it fails the base rules; its measures are null.
     """
-    bands = bands or BANDS
     bpe_path = bpe_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     piece_path = piece_path or public_tokenizers.path("piece_bpe_32k.model")
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     doubles = ["chars_per_token", "byte_share", "token_entropy"]
-    schema = pa.schema([(c, pa.int64()) for c in longs] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("script", pa.string())] + [(c, pa.float64()) for c in doubles])
+    schema = pa.schema([(c, pa.int64()) for c in longs] + [("base_failed", pa.bool_()), ("script", pa.string())] + [(c, pa.float64()) for c in doubles])
 
     def make():
         import sentencepiece
@@ -130,16 +143,63 @@ def fertility(docs: DataFrame, bands: dict[str, Band] | None = None, bpe_path: s
                 base = base_rules(text)
                 failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
                 measured = measure(text) if base[0] else (None, None, None)
-                script = main_script(text, patterns)
-                kept = False
-                if not failed:
-                    band = bands.get(script, bands["other"])
-                    chars, share, entropy = measured
-                    kept = band.chars_low <= chars <= band.chars_high and share <= band.bytes_high and band.entropy_low <= entropy <= band.entropy_high
-                for name, value in zip(schema.names, (*base, failed, kept, script, *measured), strict=True):
+                for name, value in zip(schema.names, (*base, failed, main_script(text, patterns), *measured), strict=True):
                     out[name].append(value)
             return out
 
         return work
 
-    return map_texts(docs, make, schema, id_col, text_col)
+    lang = F.lit("") if lang_col is None or lang_col not in docs.columns else F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    return map_texts(docs.select(F.col(id_col), F.col(text_col).alias("__text"), lang.alias("__lang")), make, schema, id_col, "__text", carry=("__lang",))
+
+
+def length_class() -> Column:
+    """The power of four at or under a text's number of words, from its binary digits."""
+    return F.floor((F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1)))) - 1) / 2).cast("int")
+
+
+def _fixed(bands: dict[str, Band], edge: str) -> Column:
+    """An edge of the fixed band of the row's script."""
+    out = F.lit(float(getattr(bands["other"], edge)))
+    for script, band in bands.items():
+        out = F.when(F.col("script") == script, F.lit(float(getattr(band, edge)))).otherwise(out)
+    return out
+
+
+def calibrated(rows: DataFrame, bands: dict[str, Band], spread: float = SPREAD) -> DataFrame:
+    """``(script, __lang, length, n, <measure>_low, <measure>_high)`` of each kind of text among ``rows``.
+
+    Quartiles are mergeable summaries, built task by task, so a kind that holds most rows is no hot group.
+    """
+    edges = {"chars_per_token": ("chars_low", "chars_high"), "byte_share": (None, "bytes_high"), "token_entropy": ("entropy_low", "entropy_high")}
+    fit = rows.where(~F.col("base_failed")).groupBy("script", "__lang", length_class().alias("length"))
+    found = fit.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in edges])
+    out = []
+    for measure, (low, high) in edges.items():
+        q = F.col(f"q_{measure}")
+        width = spread * F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST[measure]))
+        mixed = lambda own, fixed: (F.col("n") * own + PRIOR * _fixed(bands, fixed)) / (F.col("n") + PRIOR)
+        out.append((mixed(q[1] - width, low) if low else F.lit(0.0)).alias(f"{measure}_low"))
+        out.append(mixed(q[1] + width, high).alias(f"{measure}_high"))
+    return found.select("script", "__lang", "length", "n", *out)
+
+
+def fertility(docs: DataFrame, bands: dict[str, Band] | None = None, spread: float = SPREAD, bpe_path: str | None = None, piece_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """Base counts, measures and verdict of every row.
+
+    ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``base_failed`` (under 50
+    words, or over half of the words in repeated windows), ``kept`` (false if base_failed, else
+    whether all measures are within the band of the text's kind), ``script, chars_per_token, byte_share,
+    token_entropy``. A null or empty text has no words, so it fails; its measures are null. A null
+    language is a language of its own, and so is a missing column. A null id and repeated rows stay as
+    they are; an empty table gives an empty result. Only the named columns are read.
+    """
+    scratch = Scratch(docs.sparkSession, "fertility")
+    rows = scratch.save(measures(docs, bpe_path, piece_path, id_col, text_col, lang_col), "measures")
+    limits = calibrated(rows, bands or BANDS, spread)
+    kind = ["script", "__lang", "length"]
+    judged = rows.withColumn("length", length_class()).join(limits, kind, "left")
+    within = [F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")) for m in LEAST]
+    kept = ~F.col("base_failed") & F.coalesce(within[0] & within[1] & within[2], F.lit(False))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select(F.col(id_col), *names, kept.alias("kept"), "script", "chars_per_token", "byte_share", "token_entropy")
