@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from operator import or_
@@ -56,11 +57,13 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     return tokenizer.to_str()
 
 
-def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
-    """Bytes of each id, by reversing the byte table of the vocabulary."""
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
+def token_bytes(definition: str) -> list[bytes]:
+    """Bytes of each id: the characters of the vocabulary's tokens through the byte table reversed."""
+    vocabulary = json.loads(definition)["model"]["vocab"]
+    byte_of = {char: b for b, char in enumerate(byte_table())}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(byte_of[char] for char in token)
     return out
 
 
@@ -133,28 +136,32 @@ class Codec:
 
 
 def _load(spark, path: str | None, pattern: str | None):
-    ranks = read_ranks(path or public_tokenizers.path(RANKS))
-    return spark.sparkContext.broadcast((tokenizer_json(ranks), token_bytes(ranks), pattern or public_tokenizers.PATTERN))
+    definition = tokenizer_json(read_ranks(path or public_tokenizers.path(RANKS)))
+    return spark.sparkContext.broadcast((definition, token_bytes(definition), pattern or public_tokenizers.PATTERN))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """``(id, ids array<int>[, starts, ends array<int>], n_split)``: the tokens of every text.
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """``(id, ids array<int>[, starts, ends array<int>], n_split[, decoded_sha256])``: the tokens of every text.
 
     Null and empty texts have no tokens. Offsets are code points; a token that holds part of a
     character has that character's whole span. ``n_split`` counts tokens bounded within a character.
+    With ``decoded`` the ids are decoded again and the bytes' digest (lowercase hex) stands beside them.
+    Null ids and repeated rows stay as they are, and only the two named columns are read.
     """
     model = _load(docs.sparkSession, path, pattern)
-    fields = [("ids", pa.list_(pa.int32()))] + [("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))] * offsets + [("n_split", pa.int64())]
+    fields = [("ids", pa.list_(pa.int32()))] + [("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))] * offsets + [("n_split", pa.int64())] + [("decoded_sha256", pa.string())] * decoded
 
     def make():
         codec = Codec(*model.value)
 
         def work(texts):
-            out = {"ids": [], "starts": [], "ends": [], "n_split": []}
+            out = {"ids": [], "starts": [], "ends": [], "n_split": [], "decoded_sha256": []}
             for text, ids in zip(texts, codec.encode(texts), strict=True):
                 starts, ends, split = char_offsets(text.encode(), codec.lengths[ids])
                 for name, value in (("ids", ids), ("starts", starts), ("ends", ends), ("n_split", split)):
                     out[name].append(value)
+                if decoded:
+                    out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
             return out
 
         return work
@@ -186,7 +193,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, id_co
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256, n_split)``: encode, decode, keep digests.
 
-    The same codec as :func:`encode` and :func:`decode`, without moving ids out of the worker.
+    The same codec as :func:`encode` and :func:`decode`, without moving ids out of the worker. Null and
+    empty texts have no tokens and the digests of nothing. Null ids and repeated rows stay as they are,
+    an empty table gives an empty result, and only the two named columns are read.
     """
     model = _load(docs.sparkSession, path, pattern)
     schema = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_split", pa.int64())])
