@@ -29,3 +29,19 @@ def labelled_sample(labels: DataFrame, label_col: str, max_rows: int, fold: tupl
     for label, n in counts.items():
         share = F.when(F.col("label") == label, min(1.0, most / n)).otherwise(share)
     return rows.where(unit_hash("labelled", id_col) < share), counts
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, label, text)`` of the chosen ids, one row each: of several rows with one id the least text
+    (null before any), put together within tasks first, so that a hot id adds one row."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
+    return rows.groupBy(id_col, "label").agg(F.min("text").alias("text"))
+
+
+def sampled_texts(docs: DataFrame, max_rows: int, salt: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(text)`` of about ``max_rows`` different rows at most, chosen by a hash of id and text; equal
+    rows count once, however many there are."""
+    rows = docs.select(F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    chosen = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < min(1.0, max_rows / max(n, 1))
+    return rows.where(chosen).groupBy("h").agg(F.min("text").alias("text")).select("text")

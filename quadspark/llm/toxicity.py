@@ -1,11 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary labelled texts, back off to class unigrams and these to
-one shared distribution: continuation counts of words over all documents. A word's continuation
-count is the number of different words before it. It is gathered for each word (by its full 64-bit
-hash) as bitmaps of hashed predecessors at halving rates, which tasks OR together: they do not
-saturate, and a word costs a row for each bitmap in use, about the logarithm of its count. A text's
-statistic is the difference of its two log-likelihoods per word; a logistic fit on the
+one shared distribution: continuation counts of words over all documents. What discounts take from a
+context's pairs, and all of a pair seen once, goes to the backoff, so probabilities add up to one.
+
+A word's continuation count is the number of different words before it. It is gathered for each word
+of the corpus (by its full 64-bit hash) as bitmaps of hashed predecessors at halving rates, which tasks
+OR together: they do not saturate, and a word costs a row for each bitmap in use, about the logarithm
+of its count. These tables grow with the corpus and stay distributed. Tasks get the counts of the words
+of the labelled sample only, which bounds them: of a word that no labelled text has, both classes give
+the backoff's share, and its count cancels out of their ratio.
+
+A text's statistic is the difference of its two log-likelihoods per word; a logistic fit on the
 labelled rows, each without its own counts, turns it into a score.
 """
 
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadspark.llm.common import WordHasher, map_texts, releasing, slices
-from quadspark.llm.labelled import labelled_sample
+from quadspark.llm.labelled import labelled_sample, labelled_texts
 from quadspark.scratch import Scratch
 
 #: Buckets of words, as a power of two; the tables over words of the labelled sample are bounded by it.
@@ -41,6 +47,8 @@ PAIR_BITS = 42
 SHARE = 0.01
 #: Log ratio of the two models at one word, at most.
 MOST = 5.0
+#: How many pairs of its own in a context weigh as much as the pairs of both classes there.
+OWN = 10.0
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -62,9 +70,9 @@ class Model:
     word: np.ndarray  # (2, words) counts
     cut: np.ndarray  # discounts of words seen 0, 1, 2 and more times
     mass: np.ndarray  # (2, 1) what the discounts took from a class's words
-    common: np.ndarray  # hashes of the words with two predecessors or more, sorted
+    common: np.ndarray  # hashes of the labelled words with two predecessors or more, sorted
     shared: np.ndarray  # (common) the distribution that both classes back off to
-    rare: float  # the same of any other word: it has one predecessor
+    rare: float  # the same of a labelled word with one predecessor; of any other word it cancels out
     pairs: np.ndarray  # hashes of the pairs kept, sorted
     pair: np.ndarray  # (2, pairs) their counts
     context: np.ndarray  # (2, words) times a word comes before another
@@ -99,10 +107,16 @@ class Model:
             if labels is not None:
                 seen = np.maximum(seen - _own(owner[1:], near, labels), 0)
             n = self.context[:, ctx]
-            # the weight of the backoff is shared: a pair that neither class knows leaves the ratio of the words
-            both = n.sum(0)
-            weight = np.where(both > 0, self.follow[:, ctx].sum(0) / np.maximum(both, 1), 1.0)
-            mixed = np.maximum(seen - self.discount[np.minimum(seen, 3)], 0) / np.maximum(n, 1) + weight * low[:, 1:]
+            # both classes give the same share to the backoff, so a pair that neither knows leaves the ratio
+            # of the words; the rest is shared out by a class's pairs and, as OWN times one pair, by both classes'
+            taken = self.follow[:, ctx]
+            share = taken.sum(0) / np.maximum(n.sum(0), 1)
+            known = np.maximum(n - taken, 0)
+            cut = np.maximum(seen - self.discount[np.minimum(seen, 3)], 0) * (seen > 1)
+            both = known.sum(0)
+            some = both > 1e-6
+            pooled = cut.sum(0) / np.where(some, both, 1)
+            mixed = np.where(some, (1 - share) * (cut + OWN * pooled) / (known + OWN) + share * low[:, 1:], low[:, 1:])
             logs[:, 1:] = np.where(inner, np.log(mixed), logs[:, 1:])
         sums = np.concatenate([[0.0], np.cumsum(np.log1p(SHARE * np.expm1(np.clip(logs[1] - logs[0], -MOST, MOST))))])
         return sums[bounds[1:]] - sums[bounds[:-1]]
@@ -165,9 +179,20 @@ def estimates(bits: np.ndarray) -> np.ndarray:
     return counted.sum(1) * 2.0**base
 
 
-def shared_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the words with two or more different words before them over all documents, sorted;
-    the estimated number of these; and how many words have one."""
+@dataclass
+class Shared:
+    """Continuation counts: of the wanted words those with two predecessors or more, sorted by hash; and
+    over all words of the corpus how many have that many, the sum of these counts, and how many have one."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    often: int
+    total: float
+    single: int
+
+
+def shared_counts(docs: DataFrame, scratch: Scratch, wanted: DataFrame, text_col: str = "text") -> Shared:
+    """Counts over all documents; ``wanted (word)`` are the hashes, bounded in number, that are handed out."""
 
     def run(batches):
         hasher = WordHasher(alphanumeric=True)
@@ -211,14 +236,16 @@ def shared_counts(docs: DataFrame, scratch: Scratch, text_col: str = "text") ->
 
     often = scratch.save(by_word.where("ones > 1").select("word", "slots").mapInArrow(releasing(count), "word bigint, n float"), "often")
     single = by_word.where("ones = 1").count()
-    parts = list(_parts(often, "word"))
+    n, total = often.agg(F.count(F.lit(1)), F.sum(F.col("n").cast("double"))).first()
+    parts = list(_parts(often.join(F.broadcast(wanted), "word"), "word"))
     words = np.concatenate([w.view(np.uint64) for w, _ in parts])
     order = np.argsort(words)
-    return words[order], np.concatenate([n for _, n in parts])[order], single
+    return Shared(words[order], np.concatenate([c for _, c in parts])[order], n, total or 0.0, single)
 
 
-def class_counts(rows: DataFrame, scratch: Scratch) -> dict[str, np.ndarray]:
-    """Counts of words (kind 0), contexts (1) and pairs (2) by class over rows ``(label, text)``."""
+def class_counts(rows: DataFrame, scratch: Scratch) -> tuple[dict[str, np.ndarray], DataFrame]:
+    """Counts of words (kind 0) and pairs (2) by class over rows ``(label, text)``, and the different
+    words ``(word)`` by their full hashes (kind 3)."""
 
     def run(batches):
         hasher = WordHasher(alphanumeric=True)
@@ -233,6 +260,8 @@ def class_counts(rows: DataFrame, scratch: Scratch) -> dict[str, np.ndarray]:
                 inner = inner[1:]
                 pair = _bucket(_pairs(words), PAIR_BITS)[inner] if len(words) else np.zeros(0, np.int64)
                 ctx = _bucket(words[:-1], WORD_BITS)[inner] if len(words) else pair
+                each = np.unique(words).view(np.int64)
+                yield _emit({"kind": np.full(len(each), 3, np.int32), "key": each, "n": np.ones(len(each), np.int64)})
                 for kind, bucket, label in ((0, _bucket(words, WORD_BITS), owner), (2, (pair << WORD_BITS) + ctx, owner[1:][inner] if len(words) else owner)):
                     keys, n = np.unique(bucket * 2 + label, return_counts=True)
                     yield _emit({"kind": np.full(len(keys), kind, np.int32), "key": keys, "n": n})
@@ -245,18 +274,20 @@ def class_counts(rows: DataFrame, scratch: Scratch) -> dict[str, np.ndarray]:
     pairs = counts.where("kind = 2")
     of = {r[0]: r[1] for r in pairs.where("n <= 4").groupBy("n").count().collect()}
     out["discount"] = discounts(*[of.get(k, 0) for k in (1, 2, 3, 4)])
-    taken = F.least("n", F.element_at(F.array(*[F.lit(float(d)) for d in out["discount"]]), F.least("n", F.lit(3)).cast("int") + 1))
+    # pairs seen once are not kept: all of them goes to the backoff
+    cut = [0.0, 1.0, *map(float, out["discount"][2:])]
+    taken = F.least("n", F.element_at(F.array(*map(F.lit, cut)), F.least("n", F.lit(3)).cast("int") + 1))
     context = F.col("key").bitwiseAND((2 << WORD_BITS) - 1)
     by = pairs.groupBy(context.alias("context")).agg(F.sum("n").cast("int").alias("n"), F.sum(taken).cast("float").alias("taken"))
     for key, n, part in _parts(scratch.save(by, "contexts"), "context"):
         out["context"][key % 2, key // 2], out["follow"][key % 2, key // 2] = n, part
-    often = [np.stack([key, n]) for key, n in _parts(pairs.where("n >= 2").select("key", F.col("n").cast("int")), "key")]
-    key, n = np.concatenate(often, axis=1)
-    del often
+    kept = [np.stack([key, n]) for key, n in _parts(pairs.where("n >= 2").select("key", F.col("n").cast("int")), "key")]
+    key, n = np.concatenate(kept, axis=1)
+    del kept
     out["pairs"], at = np.unique(key >> (WORD_BITS + 1), return_inverse=True)
     out["pair"] = np.zeros((2, len(out["pairs"])), np.int32)
     np.add.at(out["pair"], (key % 2, at), n)
-    return out
+    return out, counts.where("kind = 3").select(F.col("key").alias("word"))
 
 
 def discounts(*seen: int) -> np.ndarray:
@@ -280,17 +311,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8192, fold: tuple[int, int] | None = (4, 2), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model. Class counts and the logistic fit see at most about ``max_rows`` rows a class; the
-    shared backoff counts see all documents. Without labelled rows of both classes every score is
-    the share of toxic ones (0 without any)."""
+    shared backoff counts see all documents; rows with one labelled id count once. Without labelled
+    rows of both classes every score is the share of toxic ones (0 without any)."""
     chosen, total = labelled_sample(labels, label_col, max_rows, fold, id_col)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    common, shared, single = shared_counts(docs, scratch, text_col)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
-    counts = class_counts(rows.select("label", "text"), scratch)
+    rows = scratch.save(labelled_texts(docs, chosen, id_col, text_col), "rows")
+    counts, wanted = class_counts(rows.select("label", "text"), scratch)
+    shared = shared_counts(docs, scratch, wanted, text_col)
     cut = discounts(*np.bincount(np.minimum(counts["word"].ravel(), 5), minlength=6)[1:5])
-    total_shared = shared.sum(dtype=np.float64) + 0.1 * len(shared) + 1.1 * (single + 1)  # and one word that is nowhere
+    whole = shared.total + 0.1 * shared.often + 1.1 * (shared.single + 1)  # and one word that is nowhere
     mass = np.stack([[np.minimum(n, cut[np.minimum(n, 3)]).sum()] for n in counts["word"]])
-    model = Model(counts["word"], cut, mass, common, ((shared + 0.1) / total_shared).astype(np.float32), 1.1 / total_shared, counts["pairs"], counts["pair"], counts["context"], counts["follow"], counts["discount"])
+    model = Model(counts["word"], cut, mass, shared.words, ((shared.counts + 0.1) / whole).astype(np.float32), 1.1 / whole, counts["pairs"], counts["pair"], counts["context"], counts["follow"], counts["discount"])
 
     holder = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -318,7 +349,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score, predicted)`` of every row; null and empty texts are scored as without words."""
+    """``(id, score, predicted)`` of every row; null and empty texts are scored as without words.
+
+    Null ids and repeated rows stay as they are, an empty table gives an empty result, and only the two
+    named columns are read.
+    """
     holder = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("score", pa.float64()), ("predicted", pa.int32())])
 
