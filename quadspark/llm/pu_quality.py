@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadspark.llm.common import SPACES, WordHasher, map_texts, releasing, shingles, slices
-from quadspark.llm.labelled import labelled_sample, unit_hash
+from quadspark.llm.labelled import labelled_sample, labelled_texts, sampled_texts
 from quadspark.llm.toxicity import logistic
 
 _CLASSES = 7
@@ -104,6 +104,28 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
+def risk(params: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, list[np.ndarray]]:
+    """The non-negative risk with logistic losses, and the step's direction: its gradient, or, where the
+    estimated risk on negatives is below zero, the one that brings it back up."""
+    x, n, m = np.concatenate([positive, unlabelled]), len(positive), len(unlabelled)
+    h = np.tanh(x @ params[0] + params[1])
+    g = h @ params[2] + params[3]
+    s = 1 / (1 + np.exp(-np.clip(g, -35, 35)))
+    # losses: positive -log s, negative -log(1 - s)
+    negative = -np.log(np.maximum(1 - s, 1e-16))
+    good = prior * -np.log(np.maximum(s[:n], 1e-16)).mean()
+    rest = negative[n:].mean() - prior * negative[:n].mean()
+    dg = np.zeros(len(x))
+    if rest >= 0:
+        dg[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
+        dg[n:] = s[n:] / m
+    else:
+        dg[:n] = prior * s[:n] / n
+        dg[n:] = -s[n:] / m
+    dh = np.outer(dg, params[2]) * (1 - h * h)
+    return good + max(0.0, rest), [x.T @ dh, dh.sum(0), h.T @ dg, np.array([dg.sum()])]
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 16, epochs: int = 150, rate: float = 0.01, seed: int = 7) -> Net:
     """A net by Adam steps on the non-negative risk; the same inputs give the same net."""
     both = np.concatenate([positive, unlabelled])
@@ -126,23 +148,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, hidden: int = 16, epochs
         for part_p, part_u in zip(np.array_split(order_p, parts), np.array_split(order_u, parts), strict=True):
             if not len(part_p) or not len(part_u):
                 continue
-            x = np.concatenate([zp[part_p], zu[part_u]])
-            h = np.tanh(x @ params[0] + params[1])
-            g = h @ params[2] + params[3]
-            s = 1 / (1 + np.exp(-np.clip(g, -35, 35)))
-            n = len(part_p)
-            # logistic losses: positive -log s, negative -log(1 - s)
-            negative = -np.log(np.maximum(1 - s, 1e-9))
-            rest = negative[n:].mean() - prior * negative[:n].mean()
-            dg = np.zeros(len(x))
-            if rest >= 0:
-                dg[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
-                dg[n:] = s[n:] / len(part_u)
-            else:  # the step that brings a negative risk back up
-                dg[:n] = prior * s[:n] / n
-                dg[n:] = -s[n:] / len(part_u)
-            dh = np.outer(dg, params[2]) * (1 - h * h)
-            grads = [x.T @ dh + 1e-4 * params[0], dh.sum(0), h.T @ dg + 1e-4 * params[2], np.array([dg.sum()])]
+            _, grads = risk(params, zp[part_p], zu[part_u], prior)
+            grads[0] += 1e-4 * params[0]
+            grads[2] += 1e-4 * params[2]
             step += 1
             for k, grad in enumerate(grads):
                 m, v = moments[k]
@@ -172,19 +180,21 @@ def _vectors(rows: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 4096, fold: tuple[int, int] | None = (4, 2), id_col: str = "doc_id", text_col: str = "text") -> Net | None:
     """The net, from about ``max_rows`` positives and twice as many unlabelled rows at most.
 
-    Unlabelled rows are any rows of ``docs``, chosen by hash; no label of theirs is looked at. None
-    if there are no positives or no documents.
+    Unlabelled rows are any rows of ``docs``, chosen by hash; no label of theirs is looked at. Equal
+    rows, and rows with one labelled id, count once. None if there are no positives or no documents.
     """
     positives, _ = labelled_sample(labels.where(F.col(label_col) == 1), label_col, max_rows, fold, id_col)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    n = docs.count()
-    x_p = _vectors(rows.join(F.broadcast(positives), id_col))
-    x_u = _vectors(rows.where(unit_hash("unlabelled", id_col, "text") < min(1.0, 2 * max_rows / max(n, 1))))
+    x_p = _vectors(labelled_texts(docs, positives, id_col, text_col))
+    x_u = _vectors(sampled_texts(docs, 2 * max_rows, "unlabelled", id_col, text_col))
     return train(x_p, x_u) if len(x_p) and len(x_u) else None
 
 
 def score(docs: DataFrame, net: Net | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score, predicted)`` of every row; null and empty texts score 0. Without a net all score 0.5."""
+    """``(id, score, predicted)`` of every row; null and empty texts score 0. Without a net all score 0.5.
+
+    Null ids and repeated rows stay as they are, an empty table gives an empty result, and only the two
+    named columns are read.
+    """
     schema = pa.schema([("score", pa.float64()), ("predicted", pa.int32())])
 
     def make():
