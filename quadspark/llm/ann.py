@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, best bin first.
 
-The tree is fitted on a bounded sample; every row is put in a leaf of it. A query takes nodes from a
-priority queue, nearest centroid first, so leaves come in the order in which they are worth a visit.
-How many it visits is calibrated: true neighbours of some queries are found by brute force over all
-rows in blocks, and visits widen until the wanted share of them lies in the leaves visited. Rows and
-queries then meet by leaf; large leaves are dealt out in blocks.
+The top of the tree is fitted on a bounded sample, and every row is put in a leaf. A leaf of more than
+LEAF_ROWS rows is then split by a k-means of its own, fitted where its rows are on a bounded sample of
+them; rounds of this deepen the tree with the table, so leaves do not grow. The tree is an array of
+centroids, one for some thousands of rows, whose size is checked against MAX_TREE: beyond it leaves stay
+as they are, and are dealt out in blocks.
+
+A query takes nodes from a priority queue, nearest centroid first, so leaves come in the order in which
+they are worth a visit. How many it visits is calibrated: true neighbours of some queries are found by
+brute force over all rows in blocks, and visits widen until the wanted share of them lies in the leaves
+visited. Rows and queries then meet by leaf.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +26,17 @@ from quadspark.llm.common import releasing
 from quadspark.llm.labelled import unit_hash
 from quadspark.scratch import Scratch
 
-BLOCK = 4096  # rows of a leaf that one group of queries meets at once
+BLOCK = 16_384  # rows of a leaf that one group of queries meets at once
+LEAF_ROWS = 16_384  # a leaf of more is split
+SPLIT_ROWS = 2_048  # what a split is fitted on, about
+BRANCH = 8
+MAX_TREE = 256 << 20  # bytes of centroids that all tasks get
 
 
 class Tree:
     """Nodes as centroids with child lists; leaves are numbered."""
 
-    def __init__(self, sample: np.ndarray, branch: int = 8, leaf_rows: int = 128, seed: int = 11):
+    def __init__(self, sample: np.ndarray, branch: int = BRANCH, leaf_rows: int = 128, seed: int = 11):
         self.centroids: list[np.ndarray] = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
         self.children: list[np.ndarray | None] = [None]
         self.leaf: list[int] = [-1]
@@ -35,7 +45,7 @@ class Tree:
         work = [(0, sample)]
         while work:
             node, own = work.pop()
-            label = self._split(own, branch, rng) if len(own) > leaf_rows else None
+            label = split(own, branch, rng) if len(own) > leaf_rows else None
             if label is None:
                 self.leaf[node] = self.n_leaves
                 self.n_leaves += 1
@@ -51,22 +61,29 @@ class Tree:
             self.children[node] = np.array(at)
         self.points = np.stack(self.centroids)
 
-    @staticmethod
-    def _split(rows: np.ndarray, branch: int, rng) -> np.ndarray | None:
-        """Labels of a k-means with distinct starts; None if all rows are one point."""
-        distinct = np.unique(rows, axis=0)
-        if len(distinct) < 2:
-            return None
-        centres = distinct[rng.choice(len(distinct), min(branch, len(distinct)), replace=False)]
-        label = np.zeros(len(rows), np.int64)
-        for _ in range(12):
-            d = (centres * centres).sum(1) - 2 * rows @ centres.T
-            new = d.argmin(1)
-            if (new == label).all() and _:
-                break
-            label = new
-            centres = np.stack([rows[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
-        return label if len(np.unique(label)) > 1 else None
+    @property
+    def nbytes(self) -> int:
+        return self.points.nbytes
+
+    def deepened(self, centroids: dict[int, np.ndarray]) -> Tree:
+        """The tree with some leaves split into children around the given centroids, a row each."""
+        out = Tree.__new__(Tree)
+        out.centroids, out.children, out.leaf = list(self.centroids), list(self.children), list(self.leaf)
+        for node, leaf in enumerate(self.leaf):
+            if leaf in centroids and self.children[node] is None:
+                kids = range(len(out.centroids), len(out.centroids) + len(centroids[leaf]))
+                out.centroids += list(centroids[leaf])
+                out.children += [None] * len(kids)
+                out.leaf += [-1] * len(kids)
+                out.children[node], out.leaf[node] = np.array(kids), -1
+        # leaves that stay keep their numbers, new ones follow
+        out.n_leaves = self.n_leaves
+        for node, kids in enumerate(out.children):
+            if kids is None and out.leaf[node] < 0:
+                out.leaf[node] = out.n_leaves
+                out.n_leaves += 1
+        out.points = np.stack(out.centroids)
+        return out
 
     def assign(self, rows: np.ndarray) -> np.ndarray:
         """Leaf of each row: the nearest child from the root down."""
@@ -101,6 +118,23 @@ class Tree:
         return out
 
 
+def split(rows: np.ndarray, branch: int, rng) -> np.ndarray | None:
+    """Labels of a k-means with distinct starts; None if all rows are one point."""
+    distinct = np.unique(rows, axis=0)
+    if len(distinct) < 2:
+        return None
+    centres = distinct[rng.choice(len(distinct), min(branch, len(distinct)), replace=False)]
+    label = np.full(len(rows), -1, np.int64)
+    for _ in range(12):
+        d = (centres * centres).sum(1) - 2 * rows @ centres.T
+        new = d.argmin(1)
+        if (new == label).all():
+            break
+        label = new
+        centres = np.stack([rows[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
+    return label if len(np.unique(label)) > 1 else None
+
+
 def nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
     """``(query number, row id, distance)`` of the k nearest rows of each query, by (distance, id).
 
@@ -109,8 +143,8 @@ def nearest(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.
     if not len(rows):
         return
     norms = (rows * rows).sum(1)
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
+    for a in range(0, len(queries), 64):
+        q = queries[a : a + 64]
         d = norms - 2 * q @ rows.T + (q * q).sum(1)[:, None]
         slack = 1e-9 * (norms.max() + (q * q).sum(1))
         for x in range(len(q)):
@@ -154,56 +188,43 @@ def search(
     """``(query_id, rank, vec_id, score)``: the k rows found nearest to each query, by Euclidean distance.
 
     ``queries`` has the same columns; a query's own id is no candidate. Ties go to smaller ids. With
-    k rows or fewer a query gets all of them. ``sample_rows`` bounds what the tree is fitted on,
-    ``calibration`` the queries whose true neighbours set the number of leaves visited for the wanted
-    mean ``recall``. Rows with one id and vector count once. Without usable rows there is no result.
+    k rows or fewer a query gets all of them. ``sample_rows`` bounds what the top of the tree is fitted
+    on, ``calibration`` the queries whose true neighbours set the number of leaves visited for the wanted
+    mean ``recall``. Rows with one id and vector count once; of an id with several vectors each is a
+    candidate, and the least by value is its query. Without usable rows there is no result;
+    other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows, dim = usable(vectors, id_col, vec_col)
+    # rows with one id and vector are one; of equal vectors no query needs more than the k + 1 of least id.
+    # Both go within tasks first, so that a hot row or vector is not gathered
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    rows = scratch.save(rows.distinct().withColumn("r", rank).where(F.col("r") <= k + 1).select("id", "v"), "rows")
     asked = usable(queries, id_col, vec_col)[0].where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    n = rows.count()
-    chosen = rows.where(unit_hash("tree", "id") < min(1.0, sample_rows / max(n, 1))).toArrow()
-    sample = _matrix(chosen.column("v").combine_chunks(), max(dim, 1)) if chosen.num_rows else np.zeros((0, max(dim, 1)))
-    sample = sample[np.lexsort((*sample.T[:4], np.array(chosen.column("id"), np.int64)))] if len(sample) else sample
-    tree = spark.sparkContext.broadcast(Tree(sample))
-
-    def place(batches):
-        for batch in batches:
-            if batch.num_rows:
-                leaf = tree.value.assign(_matrix(batch.column("v"), dim))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"])
-
-    # of equal vectors no query needs more than the k + 1 of least id
-    rank = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
-    index = rows.withColumn("r", rank).where(F.col("r") <= k + 1).select("id", "v").mapInArrow(releasing(place), "id bigint, v array<double>, leaf int")
-    index = scratch.save(index, "index")
-
-    sizes = index.groupBy("leaf").count()
-    sizes = {r[0]: -(-r[1] // BLOCK) for r in sizes.where(F.col("count") > BLOCK).collect()}  # bounded by the leaves of the tree
+    index, tree, sizes = build(rows, max(dim, 1), sample_rows, scratch)
     n_visits = calibrate(index, asked, tree, dim, k, recall, calibration)
 
     def visit(batches):
         for batch in batches:
-            ids, out_id, out_v, out_leaf, out_block = np.array(batch.column("id")), [], [], [], []
-            for x, q in enumerate(_matrix(batch.column("v"), dim)):
-                for leaf in tree.value.visits(q, n_visits):
-                    for block in range(sizes.get(leaf, 1)):
-                        out_id.append(ids[x])
-                        out_v.append(q)
-                        out_leaf.append(leaf)
-                        out_block.append(block)
-                if len(out_id) > 4096 or x == batch.num_rows - 1:
-                    arrays = [pa.array(out_id, pa.int64()), pa.array(out_v, pa.list_(pa.float64())), pa.array(out_leaf, pa.int32()), pa.array(out_block, pa.int32()), pa.array([1] * len(out_id), pa.int32())]
+            ids, v = np.array(batch.column("id")), _matrix(batch.column("v"), dim)
+            for a in range(0, len(ids), 64):
+                leaves = [tree.value.visits(q, n_visits) for q in v[a : a + 64]]
+                met = np.array([(x, leaf, block) for x, own in enumerate(leaves, a) for leaf in own for block in range(-(-sizes.get(leaf, 1) // BLOCK))], np.int64).reshape(-1, 3)
+                for b in range(0, len(met), 8192):
+                    x, leaf, block = met[b : b + 8192].T
+                    arrays = [pa.array(ids[x]), _lists(v[x]), pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), pa.array(np.ones(len(x), np.int32))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["id", "v", "leaf", "block", "side"])
-                    out_id, out_v, out_leaf, out_block = [], [], [], []
-
-    blocks = F.lit(1)
-    for leaf, count in sizes.items():
-        blocks = F.when(F.col("leaf") == leaf, count).otherwise(blocks)
-    dealt = index.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("side", F.lit(0))
-    asks = asked.mapInArrow(releasing(visit), "id bigint, v array<double>, leaf int, block int, side int")
-    met = dealt.select("id", "v", "leaf", "block", "side").unionByName(asks)
+
+    def dealt(batches):
+        for batch in batches:
+            leaf, ids = np.array(batch.column("leaf")), np.array(batch.column("id"))
+            parts = np.array([-(-sizes.get(n, 1) // BLOCK) for n in leaf.tolist()], np.uint64)
+            block = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)) % parts
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("leaf"), pa.array(block.astype(np.int32)), pa.array(np.zeros(len(ids), np.int32))], names=["id", "v", "leaf", "block", "side"])
+
+    shape = "id bigint, v array<double>, leaf int, block int, side int"
+    met = index.mapInArrow(releasing(dealt), shape).unionByName(asked.mapInArrow(releasing(visit), shape))
     met = met.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "side")
 
     def emit(best: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
@@ -231,8 +252,7 @@ def search(
                     vs.append(v[a:b])
                 elif ids:
                     if base is None:
-                        all_ids, at_first = np.unique(np.concatenate(ids), return_index=True)
-                        base = np.concatenate(vs)[at_first], all_ids
+                        base = np.concatenate(vs), np.concatenate(ids)
                     fresh: dict[int, list[tuple[float, int]]] = {}
                     for q, vec_id, score in nearest(v[a:b], own[a:b], *base, k):
                         fresh.setdefault(int(own[a + q]), []).append((score, vec_id))
@@ -249,6 +269,58 @@ def search(
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), rows.ravel())
+
+
+def build(rows: DataFrame, dim: int, sample_rows: int, scratch: Scratch):
+    """``(id, v, leaf)`` of rows ``(id, v)``, the broadcast tree, and rows by leaf (bounded by its leaves).
+
+    Samples are bounded: ``sample_rows`` for the top, SPLIT_ROWS for each leaf that is split, where its
+    rows are. A leaf that one point fills, or that its sample does not split, stays as it is.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    row_hash = lambda salt: unit_hash(salt, "id", "v")
+    chosen = rows.where(row_hash("tree") < min(1.0, sample_rows / max(n, 1))).toArrow()
+    sample = _matrix(chosen.column("v").combine_chunks(), dim) if chosen.num_rows else np.zeros((0, dim))
+    sample = sample[np.lexsort((*sample.T[:4], np.array(chosen.column("id"), np.int64)))] if len(sample) else sample
+    tree, whole, turn = spark.sparkContext.broadcast(Tree(sample)), set(), 0
+    while True:
+        index = scratch.save(rows.mapInArrow(releasing(_placing(tree, dim)), "id bigint, v array<double>, leaf int"), f"index-{turn}")
+        sizes = {r[0]: r[1] for r in index.groupBy("leaf").count().collect()}
+        large = {leaf: size for leaf, size in sizes.items() if size > LEAF_ROWS and leaf not in whole}
+        if not large or tree.value.nbytes + len(large) * BRANCH * dim * 8 > MAX_TREE:
+            return index, tree, sizes
+        share = spark.createDataFrame([(leaf, min(1.0, SPLIT_ROWS / size)) for leaf, size in large.items()], "leaf int, share double")
+        some = index.join(F.broadcast(share), "leaf").where(row_hash(f"split-{turn}") < F.col("share"))
+
+        def fit(pdf):
+            own = pdf.sort_values("id")
+            matrix = np.stack(own.v.to_numpy())
+            label = split(matrix, BRANCH, np.random.default_rng(int(own.leaf.iloc[0])))
+            parts = [] if label is None else [matrix[label == c].mean(0) for c in np.unique(label)]
+            return pd.DataFrame({"leaf": [own.leaf.iloc[0]] * len(parts), "centre": [p.tolist() for p in parts]})
+
+        found: dict[int, list] = {}
+        for r in some.select("id", "v", "leaf").groupBy("leaf").applyInPandas(fit, "leaf int, centre array<double>").toLocalIterator():
+            found.setdefault(r[0], []).append(r[1])
+        whole |= large.keys() - found.keys()
+        if found:
+            tree = spark.sparkContext.broadcast(tree.value.deepened({leaf: np.array(sorted(c)) for leaf, c in found.items()}))
+            scratch.drop(f"index-{turn}")
+        turn += 1
+
+
+def _placing(tree, dim: int):
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaf = tree.value.assign(_matrix(batch.column("v"), dim))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaf, pa.int32())], names=["id", "v", "leaf"])
+
+    return place
+
+
 def brute_force(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, dim: int, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """``(query, vec_id, score, *extra)``: the k nearest of all rows to a bounded set of queries, in blocks."""
     held = rows.sparkSession.sparkContext.broadcast((queries, ids))
