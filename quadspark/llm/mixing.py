@@ -1,14 +1,17 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Each document gets a hash-random key. The key range is cut into equal slices, and every (source,
-slice) is summed with partial aggregation; prefix sums over the slices give each slice its offset,
+Each document gets a hash-random key, of its id and text, so rows that share an id or have none are
+spread too. The key range is cut into equal slices, and every (source, slice) is summed with partial
+aggregation; prefix sums over runs of slices, and over the slices of a run, give each slice its offset,
 and a window within one slice finishes the prefix sum. So the order within a source is one global
-random order, yet no task holds a source. The mix reads each source in that order, again and again,
-until its budget is spent, and cuts the last document at the exact word.
+random order, yet no task holds a source, nor a number of slices that grows faster than the square root
+of its rows. The mix reads each source in that order, again and again, until its budget is spent, and
+cuts the last document at the exact word.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -67,11 +70,13 @@ def mix(
     ``size`` counts words (a null text has none); sources are taken by code point, a null one is a
     source of its own and last. ``taken`` are the words the mix takes of the row, over all epochs;
     a source's sum is its target without the fraction. The key is a hash of seed and id, so a rerun
-    takes the same; rows with equal ids follow each other, the shorter first, and rows that are equal
-    in id and size are interchangeable. Rows without words take nothing. An empty table gives none.
+    takes the same; rows equal in id and text follow each other and are interchangeable. Rows without
+    words take nothing. An empty table gives none. ``keep`` may not name columns of the result; other
+    columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    text = F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text))
     rows = docs.select(
         F.col(id_col),
         *[F.col(c).alias(f"__keep_{c}") for c in keep],
@@ -85,8 +90,15 @@ def mix(
     sums = light.groupBy("__skey", at.alias("__slice")).agg(F.sum("__size").alias("slice_size"))
     sums = scratch.save(sums, "slices")
     sources = targets(sums.groupBy(F.col("__skey").alias("skey")).agg(F.sum("slice_size").alias("source_size")), scratch, weights, most)
-    offset = F.sum("slice_size").over(Window.partitionBy("__skey").orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("slice_size")
-    placed = sums.withColumn("offset", offset).join(sources, F.col("__skey") == F.col("skey")).select("__skey", "__slice", "offset", "source_size", "target")
+    # a run holds about the square root of all slices
+    span = max(1, math.isqrt(n_slices))
+    sums = sums.withColumn("__run", F.floor(F.col("__slice") / span))
+    before = lambda size, *by: Window.partitionBy(*by).orderBy(size).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = sums.groupBy("__skey", "__run").agg(F.sum("slice_size").alias("run_size"))
+    runs = runs.withColumn("run_at", F.sum("run_size").over(before("__run", "__skey")) - F.col("run_size")).drop("run_size")
+    offset = F.sum("slice_size").over(before("__slice", "__skey", "__run")) - F.col("slice_size")
+    placed = sums.withColumn("in_run", offset).join(runs, ["__skey", "__run"]).withColumn("offset", F.col("in_run") + F.col("run_at"))
+    placed = placed.join(sources, F.col("__skey") == F.col("skey")).select("__skey", "__slice", "offset", "source_size", "target")
     base = light if not keep else rows
     within = Window.partitionBy("__skey", "__slice").orderBy("__key", F.col(id_col), "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = base.withColumn("__slice", at).withColumn("__upto", F.sum("__size").over(within)).join(placed, ["__skey", "__slice"])
@@ -103,24 +115,30 @@ def mixed(docs: DataFrame, text_col: str = "text", length_col: str | None = None
     """The mix itself: rows of ``docs`` as often as they are taken, the last time perhaps cut short.
 
     A row that is taken for part of its words has its text cut after the last of them;
-    ``length_col``, if named, then has the length of what is left. Options are those of :func:`mix`.
+    ``length_col``, if there is one of that name, then has the length of what is left. Columns may have
+    any names, also those of the mix. Options are those of :func:`mix`.
     """
-    others = tuple(c for c in docs.columns if c != options.get("id_col", "doc_id"))
-    took = mix(docs, text_col=text_col, keep=others, **options).where("taken > 0")
+    # under names of its own no column of the input clashes with one of the mix
+    own = {c: f"__m{k}" for k, c in enumerate(docs.columns)}
+    named = {k: own[options.pop(k, default)] for k, default in (("id_col", "doc_id"), ("source_col", "source"))}
+    text_at = own[text_col]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    others = tuple(n for n in own.values() if n != named["id_col"])
+    took = mix(plain, text_col=text_at, keep=others, **named, **options).where("taken > 0")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))))
     rows = took.withColumn("__copy", copy)
     left = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
-    text = F.when(left >= F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
-    out = rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
-    return out.withColumn(length_col, F.length(text_col).cast("long")) if length_col else out
+    words = F.regexp_extract_all(F.col(text_at), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    text = F.when(left >= F.col("size"), F.col(text_at)).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
+    length = lambda n: F.length(text).cast("long") if n == own.get(length_col) else F.col(n)
+    return rows.select(*[(text if n == text_at else length(n)).alias(c) for c, n in own.items()])
 
 
 #: The same in DuckDB's SQL, over a table documents.
 SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
