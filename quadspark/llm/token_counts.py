@@ -59,7 +59,8 @@ def count_tokens(docs: DataFrame, cache_dir: str | None = None, path: str | None
 
     ``cache_dir`` is the cache, made if missing; None begins an empty one in the scratch folder.
     ``path`` is the tokenizer file, readable under the same path on every worker. Two runs that
-    append the same miss leave equal rows, which the next read makes one.
+    append the same miss leave equal rows, which the next read makes one. A null text counts as an
+    empty one; an empty table gives an empty result; only the two named columns are read.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
@@ -68,7 +69,7 @@ def count_tokens(docs: DataFrame, cache_dir: str | None = None, path: str | None
 
     def cached() -> DataFrame:
         empty = spark.createDataFrame([], CACHE_SCHEMA)
-        empty.write.mode("append").parquet(cache_dir)  # so that the folder can be read when it is new
+        empty.write.mode("append").partitionBy("tokenizer").parquet(cache_dir)  # so that the folder can be read when it is new
         return spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).where(F.col("tokenizer") == tokenizer).select("digest", "n_tokens").dropDuplicates(["digest"])
 
     text = normalised(text_col)
@@ -76,7 +77,7 @@ def count_tokens(docs: DataFrame, cache_dir: str | None = None, path: str | None
     # one text for each digest: duplicates go within tasks first, so no copy group is gathered
     missing = keyed.join(cached(), "digest", "left_anti").dropDuplicates(["digest"])
     counted = map_texts(missing, counter(path), pa.schema([("n_tokens", pa.int64())]), "digest", "__content")
-    counted.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").parquet(cache_dir)
+    counted.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
 
     rows = docs.select(F.col(id_col), F.unhex(F.sha2(text, 256)).alias("__digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     counts = cached().withColumnRenamed("digest", "__digest")
