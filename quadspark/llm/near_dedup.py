@@ -10,8 +10,11 @@
    to the next step.
 3. Each candidate group comes together with its full sets. Pairs that survive the posterior are
    verified on the full sets, the likeliest first; a pair whose ends are linked already needs no more.
-   Groups of more than BLOCK classes are dealt out in blocks that each get a few hub members; then
-   only what is not in the largest part is compared with the rest, in pairs of blocks.
+   Groups of more than BLOCK classes are dealt out in blocks that each get a few hub members. What is
+   then not linked to the largest part is compared with the rest in pairs of blocks: either of the
+   whole group, or bucket by bucket, as links share a bucket, whichever moves fewer rows. So a large
+   cluster with few members apart costs one pass over it, and a group that chance hits hold together
+   costs what its buckets hold, not its square.
 4. Components of the verified links are the result.
 """
 
@@ -233,8 +236,18 @@ def _counted(df: DataFrame, by: str, name: str) -> DataFrame:
     return df.join(df.groupBy(by).agg(F.count(F.lit(1)).alias(name)), by)
 
 
-def _links(groups: DataFrame, percent: int, posterior: Posterior, scratch: Scratch) -> DataFrame:
-    """Links within candidate groups, from rows ``(cand, size, rep, shingles, sig)``."""
+def _units(units: DataFrame) -> DataFrame:
+    """Of each ``(cand, unit)`` with several parts: the largest, the rows in all and outside of it, the
+    blocks that these make, and the rows that comparing them moves."""
+    counts = units.groupBy("cand", "unit", "part").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("cand", "unit").agg(F.max(F.struct("c", F.col("part").alias("main"))).alias("m"), F.sum("c").alias("all"))
+    most = most.select("cand", "unit", "m.main", (F.col("all") - F.col("m.c")).alias("outside"), "all").where("outside > 0")
+    most = most.withColumn("n0", F.ceil(F.col("outside") / BLOCK)).withColumn("n1", F.ceil(F.col("all") / BLOCK))
+    return most.withColumn("moves", F.col("outside") * F.col("n1") + F.col("all") * F.col("n0"))
+
+
+def _links(groups: DataFrame, members: DataFrame, percent: int, posterior: Posterior, scratch: Scratch) -> DataFrame:
+    """Links within candidate groups, from rows ``(cand, size, rep, shingles, sig)`` and ``(bucket, rep)``."""
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
     blocks = groups.select("cand", block.alias("block"), "rep", "shingles", "sig")
     large = groups.where(F.col("size") > BLOCK)
@@ -254,19 +267,29 @@ def _links(groups: DataFrame, percent: int, posterior: Posterior, scratch: Scrat
     own = large.join(parts, large.rep == parts.node, "left").select("cand", "rep", F.coalesce("label", "rep").alias("part"))
     tasks = _tasks(large.select("cand"))
     own = scratch.save(own.coalesce(tasks), "own")
-    counts = own.groupBy("cand", "part").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("cand").agg(F.max(F.struct("c", F.col("part").alias("main"))).alias("m"), F.sum("c").alias("all")).select("cand", "m.main", (F.col("all") - F.col("m.c")).alias("outside"), "all")
-    rest = own.join(most.where("outside > 0"), "cand").withColumn("n0", F.ceil(F.col("outside") / BLOCK)).withColumn("n1", F.ceil(F.col("all") / BLOCK))
-    rest = scratch.save(rest.coalesce(tasks), "rest")
+    kinds = {"group": own.select("cand", F.col("cand").alias("unit"), "rep", "part"), "bucket": members.select(F.col("bucket").alias("unit"), "rep").join(own, "rep").select("cand", "unit", "rep", "part")}
+    found = {kind: scratch.save(_units(units).coalesce(tasks), f"units-{kind}") for kind, units in kinds.items()}
+    if found["group"].isEmpty():
+        return links
+    moves = [found[kind].groupBy("cand").agg(F.sum("moves").alias(kind)) for kind in kinds]
+    # a group without a bucket of several parts has nothing left to compare
+    by_bucket = moves[0].join(moves[1], "cand", "left").select("cand", (F.coalesce("bucket", F.lit(0)) < F.col("group")).alias("by_bucket"))
+    parts = []
+    for kind, units in kinds.items():
+        plan = found[kind].join(by_bucket.where(F.col("by_bucket") == (kind == "bucket")), "cand").drop("by_bucket", "moves")
+        parts.append(units.join(plan, ["cand", "unit"]).withColumn("kind", F.lit(kind)))
+    rest = scratch.save(parts[0].unionByName(parts[1]).coalesce(tasks), "rest")
     if rest.isEmpty():
         return links
     h = F.xxhash64("rep")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = rest.where("part <> main").withColumn("i", F.pmod(h, "n0")).withColumn("j", upto("n1")).withColumn("side", F.lit(0))
-    right = rest.withColumn("j", F.pmod(h, "n1")).withColumn("i", upto("n0")).withColumn("side", F.lit(1))
-    pairs = left.unionByName(right).select("cand", "i", "j", "side", "part", "rep")
-    pairs = pairs.join(large.select("cand", "rep", "shingles", "sig"), ["cand", "rep"])
-    more = scratch.save(map_groups(pairs, ["cand", "i", "j"], verified(percent, posterior, across=True)), "more-links")
+    # in a unit of one block each row comes once
+    right = rest.where("part = main OR n1 > 1").withColumn("j", F.pmod(h, "n1")).withColumn("i", upto("n0")).withColumn("side", F.lit(1))
+    keys = ["kind", "cand", "unit", "i", "j"]
+    pairs = left.unionByName(right).select(*keys, "side", "part", "rep")
+    pairs = pairs.join(large.select("rep", "shingles", "sig"), "rep")
+    more = scratch.save(map_groups(pairs, keys, verified(percent, posterior, across=True)), "more-links")
     return links.unionByName(more)
 
 
@@ -279,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     whether it is the row's own. Texts that are null or without words have an empty set and are linked
     with nothing. Rows with one id count as one document. A null id is linked with nothing: its
     ``component_id`` is null and ``kept`` true. Sets are compared as 64-bit hashes of their shingles.
-    Ids are integers.
+    Ids are integers. An empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     bands = n_bands(percent, miss)
@@ -298,14 +321,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     small = members.where(F.col("n") <= BLOCK).select("bucket", "rep").join(classes.select("rep", "sig"), "rep")
     star = members.where(F.col("n") > BLOCK).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     edges = scratch.save(bucket_edges(small, posterior).unionByName(star).where("a <> b").distinct(), "edges")
-    scratch.drop("members")
 
     cands = components(edges, scratch, "cands").select(F.col("node").alias("rep"), F.col("label").alias("cand"))
     cands = scratch.save(_counted(cands, "cand", "size").coalesce(_tasks(cands)), "sized")
     # candidates grow with the corpus, so the join is the same shuffle at every size, never a broadcast
     texts = plain.join(cands.hint("merge"), plain["__id"] == cands.rep).select("cand", "size", "rep", "__text")
     groups = scratch.save(_with_sets(texts, width, k), "groups")
-    links = _links(groups, percent, posterior, scratch)
+    links = _links(groups, members.select("bucket", "rep"), percent, posterior, scratch)
+    scratch.drop("members")
     labels = components(links, scratch, "labels")
 
     of_class = classes.join(labels, classes.rep == labels.node, "left").select("digest", F.coalesce("label", "rep").alias("component"))
