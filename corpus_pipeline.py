@@ -1,6 +1,10 @@
 """A training corpus from documents: language, near-duplicates, secrets, source mix, tokens.
 
 Each stage takes what the one before it kept, written as Parquet in between.
+
+Tables may have further columns of any names, also those of an operator's results; they are carried
+along. Rows with a null id are each a document of their own, rows that share an id are one. A null text
+has no language and goes. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -14,9 +18,12 @@ from quadspark.scratch import Scratch
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language: what is null or has no letter goes."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = language_id.identify(docs, docs, keep=others)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    # under names of its own no column of the table clashes with one of the result
+    own = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    others = tuple(n for c, n in own.items() if c != "doc_id")
+    found = language_id.identify(plain, plain, id_col=own["doc_id"], text_col=own["text"], lang_col=own["lang"], keep=others)
+    return found.where(F.col("lang_pred") != "und").select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +43,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, with found secrets replaced by marks."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +53,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids, n_split)`` of every row."""
-    return bpe.encode(docs, offsets=False)
+    """``(doc_id, ids, starts, ends, n_split, decoded_sha256)`` of every row: its tokens, the characters
+    that they stand for, and the digest of what they decode to."""
+    return bpe.encode(docs, decoded=True)
 
 
 STAGES = [
