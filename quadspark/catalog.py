@@ -119,13 +119,6 @@ def scan_subject_object(spark, folder):
     return rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'urn:d:r_name' AS p, count(*) AS n FROM region UNION ALL SELECT 'urn:d:n_name', count(*) FROM nation
-UNION ALL SELECT 'urn:d:n_regionkey', count(*) FROM nation UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (SELECT count(*) FROM region) + (SELECT count(*) FROM nation)""")
-def scan_full(spark, folder):
-    small = tuple(t for t in TableStore(spark, folder).tables if t.name in ("region", "nation"))
-    return TableStore(spark, folder, small).snapshot().scan().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-
-
 #: Tables and their columns that are predicates, for SQL over every table.
 WHOLE = {
     "region": "r_name", "nation": "n_name n_regionkey", "customer": "c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_name s_nationkey s_acctbal", "part": "p_name p_brand p_type p_size p_retailprice",
@@ -137,8 +130,8 @@ WHOLE_SQL = "SELECT p, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
 
 
 @query(WHOLE_SQL)
-def scan_full_tables(spark, folder):
-    """The full scan over every table; scan_full is the one over region and nation."""
+def scan_full(spark, folder):
+    """The full scan over every table."""
     return store(spark, folder).scan().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -294,17 +287,8 @@ def join_repeated_variable(spark, folder):
     return texts(referrals(spark, folder).scan(Pattern(V("x"), P("refers"), V("x"))), x="x")
 
 
-@query("""SELECT p, count(*) AS n FROM (SELECT 'urn:d:n_name' AS p FROM nation WHERE n_nationkey < 2 UNION ALL SELECT 'urn:d:n_regionkey' FROM nation WHERE n_nationkey < 2
-UNION ALL SELECT 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' FROM nation WHERE n_nationkey < 2) GROUP BY p""")
-def predicate_variable(spark, folder):
-    small = tuple(t for t in TableStore(spark, folder).tables if t.name in ("nation", "region"))
-    b = Builder(TableStore(spark, folder, small).snapshot(), spark)
-    rows = b.scan(Pattern(V("s"), V("p"), V("o"))).where(F.col("s")["str"].isin("urn:d:nation:0", "urn:d:nation:1"))
-    return texts(rows, p="p").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(WHOLE_SQL)
-def predicate_variable_tables(spark, folder):
+def predicate_variable(spark, folder):
     """A pattern of three variables over every table and subject."""
     rows = Builder(store(spark, folder), spark).scan(Pattern(V("s"), V("p"), V("o")))
     return texts(rows, p="p").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
