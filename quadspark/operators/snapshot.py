@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,18 +27,24 @@ def edge_id(s: Column, p: Column, key: Column) -> Column:
     return F.concat(F.lit("urn:edge:"), F.substring(F.sha2(F.concat_ws("\0", s, p, key), 256), 1, 32))
 
 
-def resolve(versions: DataFrame, vt: int | None = None, tt: int | None = None) -> DataFrame:
-    """Live quads at valid time ``vt`` as known at ``tt``; None is the end of time (nothing ended, all known).
+def last_versions(versions: DataFrame) -> DataFrame:
+    """The last version of each quad: one partial aggregation, a maximum over a struct."""
+    last = F.max(F.struct("vt_start", "tt", "vt_end", "edge_id", "o")).alias("last")
+    best = versions.withColumn("key", F.col("o.key")).groupBy("g", "s", "p", "key").agg(last)
+    return best.select("g", "s", "p", "last.o", "last.edge_id", "last.vt_start", "last.vt_end", "last.tt")
 
-    One partial aggregation by quad: the latest version is a maximum over a struct.
-    """
+
+def live_rows(state: DataFrame, at: int = END - 1) -> DataFrame:
+    return state.where(F.col("vt_end") > at)
+
+
+def resolve(versions: DataFrame, vt: int | None = None, tt: int | None = None) -> DataFrame:
+    """Live quads at valid time ``vt`` as known at ``tt``; None is the end of time (nothing ended, all known)."""
     at = END - 1 if vt is None else vt
     rows = versions.where(F.col("vt_start") <= at)
     if tt is not None:
         rows = rows.where(F.col("tt") <= tt)
-    last = F.max(F.struct("vt_start", "tt", "vt_end", "edge_id", "o")).alias("last")
-    best = rows.withColumn("key", F.col("o.key")).groupBy("g", "s", "p", "key").agg(last)
-    return best.where(F.col("last.vt_end") > at).select("g", "s", "p", "last.o", "last.edge_id", "last.vt_start", "last.vt_end", "last.tt")
+    return live_rows(last_versions(rows), at)
 
 
 @dataclass(frozen=True)
@@ -46,20 +53,28 @@ class Snapshot:
 
     ``source`` returns the quads of one predicate, or of all for None, so a bound predicate reads only
     what it needs. ``one_graph`` says that all quads are in one graph, which makes the union of graphs
-    free of duplicates; ``single`` that a subject has one value of a property at most.
+    free of duplicates; ``single`` that a subject has one value of a property at most, but for the
+    predicates of ``many``. ``picked`` is the source of quads that pass a test on graph, subject, predicate
+    and object, for sources that can apply it early; ``typed`` that of the quads that give one type.
     """
 
     source: Callable[[str | None], DataFrame]
     one_graph: bool = False
     single: bool = False
+    many: frozenset[str] = frozenset()
     readable: tuple[str, ...] | None = None
     inferred: bool = True
     annotations: DataFrame | None = None
+    picked: Callable[[str | None, Column], DataFrame] | None = None
+    typed: Callable[[str], DataFrame] | None = None
 
     @staticmethod
     def of(quads: DataFrame, annotations: DataFrame | None = None) -> Snapshot:
         return Snapshot(lambda p: quads if p is None else quads.where(F.col("p") == p), annotations=annotations)
 
+    def one_value(self, predicate: str) -> bool:
+        return self.single and predicate not in self.many
+
     def restricted(self, readable: list[str] | None = None, inferred: bool = True) -> Snapshot:
         """The graphs that may be read, and whether inferred ones count; applied before all else."""
         return replace(self, readable=None if readable is None else tuple(readable), inferred=inferred)
@@ -69,21 +84,27 @@ class Snapshot:
 
         The union shows a triple once, with the least graph that has it; other scopes show each graph.
         """
-        rows = self.source(p.value if isinstance(p, Value) and p.kind == "U" else None)
+        tests = []
         if self.readable is not None:
-            rows = rows.where(F.col("g").isin(*self.readable)) if self.readable else rows.where(F.lit(False))
+            tests.append(F.col("g").isin(*self.readable) if self.readable else F.lit(False))
         if not self.inferred:
-            rows = rows.where(~F.col("g").startswith(INFERRED))
+            tests.append(~F.col("g").startswith(INFERRED))
         if graph.kind in ("one", "set", "set-named"):
-            rows = rows.where(F.col("g").isin(*graph.iris)) if graph.iris else rows.where(F.lit(False))
+            tests.append(F.col("g").isin(*graph.iris) if graph.iris else F.lit(False))
         elif graph.kind == "named":
-            rows = rows.where(F.col("g") != "")
+            tests.append(F.col("g") != "")
         if isinstance(s, Value):
-            rows = rows.where(F.col("s") == s.value) if s.kind == "U" else rows.where(F.lit(False))
+            tests.append(F.col("s") == s.value if s.kind == "U" else F.lit(False))
         if isinstance(p, Value):
-            rows = rows.where(F.col("p") == p.value)
+            tests.append(F.col("p") == p.value)
         if isinstance(o, Value):
-            rows = rows.where(F.col("o.key") == o.key())
+            tests.append(F.col("o.key") == o.key())
+        name = p.value if isinstance(p, Value) and p.kind == "U" else None
+        if tests and self.picked:
+            rows = self.picked(name, reduce(lambda a, b: a & b, tests))
+        else:
+            given = self.typed is not None and name == terms.RDF_TYPE and isinstance(o, Value) and o.kind == "U"
+            rows = reduce(DataFrame.where, tests, self.typed(o.value) if given else self.source(name))
         merged = graph.kind == "union" or (graph.kind == "set" and len(graph.iris) > 1)
         if merged and not self.one_graph:
             first = F.min(F.struct("g", "edge_id", "o")).alias("x")

@@ -1,7 +1,8 @@
-"""The change feed: the log of commits as a stream.
+"""The change feed: the events of commits as a stream, and what lives on it.
 
-Events are rows ``(commit_ts, author, kind, g, s, p, o)`` in files that are only ever added, so a
-structured stream reads each once; resuming is its checkpoint, or a filter on ``commit_ts``.
+Events are rows ``(commit_ts, author, kind, g, s, p, o)`` in files that come once their commit stands and
+are only ever added, so a structured stream reads each once and none of a failed commit; resuming is its
+checkpoint, or a filter on ``commit_ts``.
 """
 
 from __future__ import annotations
@@ -30,15 +31,19 @@ def filtered(changes: DataFrame, after: int | None = None, graphs: list[str] | N
 
 def stream(spark: SparkSession, store: Store, **options) -> DataFrame:
     """The feed as a streaming DataFrame."""
+    store.publish()
+    fs, path = store._fs(f"{store.path}/changes")
+    fs.mkdirs(path)  # a store without a commit has an empty feed
     rows = spark.readStream.schema(CHANGE_DDL).option("recursiveFileLookup", "true").parquet(f"{store.path}/changes")
     return filtered(rows, **options)
 
 
-def batch(store: Store, after: int | None = None, floor: int = 0, **options) -> DataFrame:
-    """Events after a commit, in commit order; :class:`OutOfRange` if that is before the floor."""
+def batch(store: Store, after: int | None = None, **options) -> DataFrame:
+    """Events after a commit, in commit order; :class:`OutOfRange` if events after it were pruned."""
+    floor = store.floor()
     if after is not None and after < floor:
-        raise OutOfRange(f"the feed begins at {floor}")
-    return filtered(store.changes(), after, **options).orderBy("commit_ts", "g", "s", "p")
+        raise OutOfRange(f"the feed begins after {floor}")
+    return filtered(store.changes(), floor if after is None else after, **options).orderBy("commit_ts", "g", "s", "p")
 
 
 def subscribe(spark: SparkSession, store: Store, each: Callable[[DataFrame, int], None], checkpoint: str, **options):
@@ -47,16 +52,46 @@ def subscribe(spark: SparkSession, store: Store, each: Callable[[DataFrame, int]
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def type_index(changes: DataFrame) -> DataFrame:
-    """``(s, type)`` as the log's last word on each: a consumer of the feed."""
-    rows = changes.where((F.col("p") == RDF_TYPE) & F.col("o").isNotNull())
-    last = rows.groupBy("s", F.col("o.str").alias("type")).agg(F.max_by("kind", F.struct("commit_ts", "kind")).alias("kind"))
-    return last.where(F.col("kind") == "assert").select("s", "type")
-
-
-def pruned(changes: DataFrame, before: int) -> DataFrame:
-    """What is left of the log after pruning; ``before`` is then its floor."""
-    return changes.where(F.col("commit_ts") >= before)
+def type_index(changes: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``(g, s, type)`` after the events, a consumer of the feed; ``before`` is the index that they change.
+
+    Within a commit an assertion wins over the closing of the same quad, which it replaces.
+    """
+    rows = changes.where((F.col("p") == RDF_TYPE) & F.col("o").isNotNull() & F.col("kind").isin("assert", "close"))
+    order = F.struct("commit_ts", (F.col("kind") == "assert").alias("set"))
+    last = rows.groupBy("g", "s", F.col("o.str").alias("type")).agg(F.max(order).alias("last"))
+    out = last.where("last.set").select("g", "s", "type")
+    return out if before is None else out.unionByName(before.join(last, ["g", "s", "type"], "left_anti").select("g", "s", "type"))
+
+
+class TypeIndex:
+    """The type index of a store, kept in a folder and brought up to date from the feed."""
+
+    def __init__(self, store: Store, path: str):
+        self.store, self.path = store, path.rstrip("/")
+
+    def _state(self) -> tuple[int, str] | None:
+        """The newest version that was written in whole: its commit and folder."""
+        fs, p = self.store._fs(self.path)
+        names = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+        done = [n for n in names if fs.exists(self.store._fs_path(f"{self.path}/{n}/_SUCCESS"))]
+        return (int(done[-1]), f"{self.path}/{done[-1]}") if done else None
+
+    def refresh(self) -> int:
+        """Follows the feed from where the index stands; the commit that it now stands at."""
+        state, last = self._state(), self.store.last()
+        if state and state[0] >= last:
+            return last
+        spark = self.store.spark
+        events = batch(self.store, state[0]) if state else batch(self.store)
+        events = events.where(F.col("commit_ts") <= last)
+        before = spark.read.parquet(state[1]) if state else None
+        type_index(events, before).write.mode("overwrite").parquet(f"{self.path}/{last:020d}")
+        return last
+
+    def read(self) -> DataFrame:
+        state = self._state()
+        return self.store.spark.read.parquet(state[1]) if state else self.store.spark.createDataFrame([], "g string, s string, type string")
 
 
 def event_windows(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
