@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,14 @@ from quadspark.plans.sparql_parser import Parser
 
 GENID = "/.well-known/genid/"
 
-_IRI, _BLANK = r"<([^<>\"{}|^`\\\s]*)>", r"_:([A-Za-z0-9_][\w.-]*)"
-_LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?'
+#: Stand for an escaped backslash and quote while a line is taken apart, so that no pattern needs a choice
+#: in a loop (which would take a stack frame a character). Noncharacters; a line that has them is malformed.
+_MASKS = "\ufdd0\ufdd1"
+_IRI, _BLANK = r"<([^<>\"{}|^`\s]*)>", r"_:([A-Za-z0-9_][\w.-]*)"
+_LITERAL = r'"([^"]*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?'
+#: Escapes that are none, and halves of surrogate pairs.
+_HIGH, _LOW = r"\\u[dD][89abAB][0-9A-Fa-f]{2}", r"\\u[dD][c-fC-F][0-9A-Fa-f]{2}"
+_WRONG = rf"\\(?!u[0-9A-Fa-f]{{4}}|U(?:000[0-9A-Fa-f]|0010)[0-9A-Fa-f]{{4}}|[tbnrf'])|{_HIGH}(?!{_LOW})|(?<!{_HIGH}){_LOW}"
 _LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"
 
 
@@ -30,25 +37,51 @@ def skolem(base: str, import_id: str, label: Column) -> Column:
     return F.concat(F.lit(f"{base}{GENID}{import_id}/"), label)
 
 
+#: The escapes of one character in the line formats.
+_SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", "'": "'"}
+
+
 def _unescaped(c: Column) -> Column:
-    """String escapes of the line formats; JSON's are the same but for the 8-digit one, which is rewritten."""
-    safe = F.regexp_replace(F.regexp_replace(c, r"\\'", "'"), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
-    return F.when(F.contains(c, F.lit("\\")), F.from_json(F.concat(F.lit('{"v":"'), safe, F.lit('"}')), "v string")["v"]).otherwise(c)
+    """String escapes of a masked part of a line, of one character or of 4 or 8 hex digits.
+
+    The text is cut into escapes and what stands between them, and each part becomes what it stands for;
+    two escapes that make a surrogate pair are one part.
+    """
+    parts = F.regexp_extract_all(c, F.lit(rf"{_HIGH}{_LOW}|\\U[0-9A-Fa-f]{{8}}|\\u[0-9A-Fa-f]{{4}}|(?s:\\.)|[^\\]+"), F.lit(0))
+    number = lambda x, at, n: F.conv(F.substring(x, at, n), 16, 10).cast("long")
+
+    def char(code: Column) -> Column:
+        """The character of a code point, by way of UTF-32 bytes after their mark."""
+        return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+
+    def one(x: Column) -> Column:
+        out = F.when(F.length(x) == 12, char(F.lit(0x10000) + (number(x, 3, 4) - 0xD800) * 1024 + number(x, 9, 4) - 0xDC00))
+        out = out.when(F.startswith(x, F.lit("\\U")), char(number(x, 3, 8))).when(F.startswith(x, F.lit("\\u")), char(number(x, 3, 4)))
+        for name, value in _SHORT.items():
+            out = out.when(x == "\\" + name, F.lit(value))
+        return out.otherwise(x)
+
+    escaped = lambda x: F.when(F.startswith(x, F.lit("\\")), one(x)).otherwise(x)
+    text = F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, escaped), "")).otherwise(c)
+    return F.translate(text, _MASKS, '\\"')
 
 
 def read_lines(spark: SparkSession, path: str, base: str = "urn:q", import_id: str = "0", graph: str = "") -> tuple[DataFrame, DataFrame]:
     """Quads of an N-Triples or N-Quads file or folder, and its malformed lines ``(value)``."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda n: F.nullif(F.regexp_extract("value", _LINE, n), F.lit(""))
-    good = F.col("value").rlike(_LINE)
-    s = F.coalesce(part(1), skolem(base, import_id, part(2)))
-    o_node = F.coalesce(part(4), skolem(base, import_id, part(5)))
+    masked = F.replace(F.replace("value", F.lit("\\\\"), F.lit(_MASKS[0])), F.lit('\\"'), F.lit(_MASKS[1]))
+    lines = lines.withColumn("__line", masked)
+    part = lambda n: F.nullif(F.regexp_extract("__line", _LINE, n), F.lit(""))
+    good = F.col("__line").rlike(_LINE) & ~F.col("__line").rlike(_WRONG) & ~F.col("value").rlike(f"[{_MASKS}]")
+    iri = lambda n: _unescaped(part(n))
+    s = F.coalesce(iri(1), skolem(base, import_id, part(2)))
+    o_node = F.coalesce(iri(4), skolem(base, import_id, part(5)))
     # an empty text is not a missing one
-    text = _unescaped(F.regexp_extract("value", _LINE, 6))
-    o = F.when(o_node.isNotNull(), terms.node(o_node)).otherwise(terms.literal(text, part(7), part(8)))
-    g = F.coalesce(part(9), skolem(base, import_id, part(10)), F.lit(graph))
-    rows = lines.where(good).select(g.alias("g"), s.alias("s"), part(3).alias("p"), o.alias("o"))
-    return with_edges(rows), lines.where(~good)
+    text = _unescaped(F.regexp_extract("__line", _LINE, 6))
+    o = F.when(o_node.isNotNull(), terms.node(o_node)).otherwise(terms.literal(text, part(7), iri(8)))
+    g = F.coalesce(iri(9), skolem(base, import_id, part(10)), F.lit(graph))
+    rows = lines.where(good).select(g.alias("g"), s.alias("s"), iri(3).alias("p"), o.alias("o"))
+    return with_edges(rows), lines.where(~good).select("value")
 
 
 def with_edges(rows: DataFrame) -> DataFrame:
@@ -243,6 +276,8 @@ def read_documents(spark: SparkSession, path: str, kind: str, base: str = "urn:q
 _PARTS = pa.schema([(n, pa.string()) for n in ("g", "s", "p", "kind", "str")] + [("int", pa.int64()), ("dbl", pa.float64()), ("bool", pa.bool_()), ("extra", pa.string())])
 
 FORMATS = {"nt": "lines", "nq": "lines", "ttl": "turtle", "trig": "turtle", "jsonld": "jsonld"}
+#: Formats to write only: with statements about edges as quoted triples.
+STAR = ("nts", "ttls")
 
 
 def read(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
@@ -279,7 +314,7 @@ def lines(quads: DataFrame, graphs: bool = False) -> DataFrame:
 
 
 def star_lines(quads: DataFrame, annotations: DataFrame) -> DataFrame:
-    """``(value)``: annotations as statements about quoted triples."""
+    """``(value)``: annotations as statements about quoted triples, in the syntax of both line and block formats."""
     q = quads.select("edge_id", F.concat_ws(" ", F.lit("<<"), _iri("s"), _iri("p"), rendered(F.col("o")), F.lit(">>")).alias("subject"))
     return annotations.join(q, "edge_id").select(F.concat_ws(" ", "subject", _iri("p"), rendered(F.col("o")), F.lit(".")).alias("value"))
 
@@ -323,12 +358,19 @@ def jsonld(quads: DataFrame) -> DataFrame:
     return pairs.select("g", "s", F.concat(F.lit('{"@id":'), quoted(F.col("s")), F.lit(","), F.col("body"), F.lit("}")).alias("value"))
 
 
-def write(quads: DataFrame, path: str, fmt: str, prefixes: dict[str, str] | None = None) -> None:
-    """Text files of a folder; Turtle and TriG parts each begin with their prefixes only if there are any."""
-    if fmt in ("nt", "nq"):
+def write(quads: DataFrame, path: str, fmt: str, prefixes: dict[str, str] | None = None, annotations: DataFrame | None = None) -> None:
+    """Text files of a folder; full IRIs throughout, so parts of Turtle and TriG need no header.
+
+    The formats nts and ttls are N-Triples and Turtle with ``annotations`` as quoted triples beside.
+    """
+    if fmt in STAR:
+        plain = lines(quads) if fmt == "nts" else turtle(quads).select("value")
+        plain = plain if annotations is None else plain.unionByName(star_lines(quads, annotations))
+        plain.write.mode("overwrite").text(path)
+    elif fmt in ("nt", "nq"):
         lines(quads, fmt == "nq").write.mode("overwrite").text(path)
     elif fmt in ("ttl", "trig"):
-        turtle(quads, None, fmt == "trig").select("value").write.mode("overwrite").text(path)  # full IRIs: parts need no header
+        turtle(quads, None, fmt == "trig").select("value").write.mode("overwrite").text(path)
     else:
         jsonld(quads).select("value").write.mode("overwrite").text(path)
 
@@ -342,5 +384,17 @@ def results_json(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(*[one(n).alias(n) for n in names])).alias("value"))
 
 
+def results_document(df: DataFrame, names: list[str]) -> Iterator[str]:
+    """A whole SPARQL JSON results document, piece by piece: head, bindings in the order of the rows, end."""
+    yield json.dumps({"head": {"vars": names}})[:-1] + ', "results": {"bindings": ['
+    for n, row in enumerate(results_json(df, names).toLocalIterator(prefetchPartitions=True)):
+        yield ("," if n else "") + row[0]
+    yield "]}}"
+
+
+def boolean_document(answer: bool) -> str:
+    return json.dumps({"head": {}, "boolean": answer})
+
+
 def results_csv(df: DataFrame, names: list[str], path: str) -> None:
     df.select(*[terms.lexical(F.col(f"`{n}`")).alias(n) for n in names]).write.mode("overwrite").csv(path, header=True)
