@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quadspark.functions import terms
 from quadspark.operators import recursion
+from quadspark.operators.ontology import Registry, schema_allows
 from quadspark.operators.snapshot import Snapshot
 from quadspark.plans.patterns import UNION, Pattern, Query, Rule, Value, Var
 from quadspark.scratch import Scratch
@@ -38,30 +39,66 @@ def one_row(spark) -> Solutions:
     return Solutions(spark.range(1).select(), (), frozenset())
 
 
-def join(a: Solutions, b: Solutions, how: str = "inner", also=None) -> Solutions:
+def join(a: Solutions, b: Solutions, how: str = "inner", also=None, overlap: bool = False) -> Solutions:
     """Rows of both that agree on shared variables; an unbound variable agrees with anything.
 
-    ``how`` left keeps rows of ``a`` without a partner. ``also(column of name)`` is a further condition
-    that sees both sides.
+    ``how`` left keeps rows of ``a`` without a partner, left_semi and left_anti keep rows with and without
+    one. ``also(column of name)`` is a further condition that sees both sides; ``overlap`` asks that a
+    shared variable be bound on both. Without a shared variable that is always bound, rows that bind all
+    shared ones are joined on their keys, and only the others by the looser test.
     """
     shared = [v for v in a.vars if v in b.vars]
     right = b.df.select(*[F.col(f"`{v}`").alias(f"__r_{v}") for v in b.vars])
-    left_df = a.df
-    tests = []
-    for v in shared:
-        x, y = F.col(f"`{v}`")["key"], F.col(f"`__r_{v}`")["key"]
-        loose = ([] if v in a.certain else [x.isNull()]) + ([] if v in b.certain else [y.isNull()])
-        tests.append(reduce(lambda p, q: p | q, loose, x == y))
     pick = {v: F.coalesce(F.col(f"`{v}`"), F.col(f"`__r_{v}`")) if v in shared and v not in a.certain else F.col(f"`{v}`") if v in a.vars else F.col(f"`__r_{v}`") for v in dict.fromkeys([*a.vars, *b.vars])}
-    if also is not None:
-        tests.append(F.coalesce(also(lambda v: pick.get(v)), F.lit(False)))
-    on = reduce(lambda p, q: p & q, tests) if tests else F.lit(True)
-    if how in ("left_anti", "left_semi"):
-        return replace(a, df=left_df.join(right, on, how))
-    # patterns without a shared variable are a product by definition
-    joined = left_df.join(right, on, how) if tests or how == "left" else left_df.crossJoin(right)
+    left_key, right_key = (lambda v: F.col(f"`{v}`")["key"]), (lambda v: F.col(f"`__r_{v}`")["key"])
+    extra = [F.coalesce(also(lambda v: pick.get(v)), F.lit(False))] if also is not None else []
+
+    def test(bound_left: bool, bound_right: bool):
+        """The condition, for sides whose shared variables are all bound or perhaps not."""
+        tests = []
+        for v in shared:
+            x, y = left_key(v), right_key(v)
+            loose = ([] if bound_left or v in a.certain else [x.isNull()]) + ([] if bound_right or v in b.certain else [y.isNull()])
+            tests.append(reduce(lambda p, q: p | q, loose, x == y))
+        if overlap and not ((bound_left and bound_right) or any(v in a.certain and v in b.certain for v in shared)):
+            tests.append(reduce(lambda p, q: p | q, [left_key(v).isNotNull() & right_key(v).isNotNull() for v in shared], F.lit(False)))
+        tests += extra
+        return reduce(lambda p, q: p & q, tests) if tests else F.lit(True)
+
     certain = a.certain | b.certain if how == "inner" else a.certain
-    return Solutions(joined.select(*[c.alias(v) for v, c in pick.items()]), tuple(pick), frozenset(certain))
+    result = lambda df: Solutions(df.select(*[c.alias(v) for v, c in pick.items()]), tuple(pick), frozenset(certain))
+    whole = not shared or all(v in a.certain and v in b.certain for v in shared)
+    if whole or any(v in a.certain and v in b.certain for v in shared):
+        on = test(whole, whole)
+        if how in ("left_anti", "left_semi"):
+            return replace(a, df=a.df.join(right, on, how))
+        # patterns without a shared variable are a product by definition
+        return result(a.df.join(right, on, how) if shared or extra or how == "left" else a.df.crossJoin(right))
+    all_bound = lambda key: reduce(lambda p, q: p & q, [key(v).isNotNull() for v in shared])
+    parts = {}
+    for side, df, key, known in (("a", a.df, left_key, a.certain), ("b", right, right_key, b.certain)):
+        every = set(shared) <= known
+        parts[side] = df if every else df.where(all_bound(key)), None if every else df.where(~all_bound(key))
+    (a_full, a_part), (b_full, b_part) = parts["a"], parts["b"]
+
+    def kept(how: str) -> DataFrame:
+        """Rows of ``a`` with a partner, or without one."""
+        out = a_full.join(b_full, test(True, True), how)
+        if b_part is not None:
+            alone = out if how == "left_anti" else a_full.join(b_full, test(True, True), "left_anti")
+            more = alone.join(b_part, test(True, False), how)
+            out = more if how == "left_anti" else out.unionByName(more)
+        return out if a_part is None else out.unionByName(a_part.join(right, test(False, False), how))
+
+    if how in ("left_anti", "left_semi"):
+        return replace(a, df=kept(how))
+    out = a_full.join(b_full, test(True, True))
+    out = out if b_part is None else out.unionByName(a_full.join(b_part, test(True, False)))
+    out = out if a_part is None else out.unionByName(a_part.join(right, test(False, False)))
+    if how == "left":
+        missing = kept("left_anti").select("*", *[F.lit(None).cast(terms.TERM).alias(c) for c in right.columns])
+        out = out.unionByName(missing)
+    return result(out)
 
 
 def union(a: Solutions, b: Solutions) -> Solutions:
@@ -70,10 +107,14 @@ def union(a: Solutions, b: Solutions) -> Solutions:
 
 
 class Builder:
-    """Evaluates patterns against one snapshot."""
+    """Evaluates patterns against one snapshot.
+
+    With a ``registry``, a pattern whose bound subject or object is not of the type that its predicate
+    declares has no rows, and reads none of that predicate.
+    """
 
-    def __init__(self, snapshot: Snapshot, spark):
-        self.snapshot, self.spark = snapshot, spark
+    def __init__(self, snapshot: Snapshot, spark, registry: Registry | None = None):
+        self.snapshot, self.spark, self.registry = snapshot, spark, registry
         self.derived: dict[str, DataFrame] = {}
 
     # --- one pattern -------------------------------------------------------------------------
@@ -91,6 +132,10 @@ class Builder:
             rows = rows.where(F.col("o.key") == p.o.key()) if isinstance(p.o, Value) else rows
         else:
             rows = self.snapshot.scan(p.s, p.p, p.o, p.graph)
+            for node, column, end in ((p.s, "s", "domain"), (p.o, "o.str", "range")):
+                if name and self.registry and isinstance(node, Value) and node.kind == "U":
+                    allowed = schema_allows(self.registry, self.snapshot, name, node.value, end)
+                    rows = rows if allowed is None else rows.join(allowed, F.col(column) == F.col("__typed"), "left_semi")
         return self._bind(rows, p)
 
     def _bind(self, rows: DataFrame, p: Pattern) -> Solutions:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ class Query:
     nodes: dict = field(default_factory=dict)  # variable -> (label, properties)
     edges: set = field(default_factory=set)
     filters: list = field(default_factory=list)
-    near: list = field(default_factory=list)  # (variable, space, k, score variable)
+    near: list = field(default_factory=list)  # (variable, space, k, score variable, breadth)
     items: list = field(default_factory=list)  # (name, expression)
     order: list = field(default_factory=list)
     skip: int | None = None
@@ -150,18 +150,18 @@ class Parser:
         self.need(",")
         space = self.value().value
         self.need(",")
-        k = self.value().value
+        k, ef = self.value().value, None
         if self.eat(","):
             self.need("EF")
             self.need("=")
-            self.value()  # the search is exact; a breadth is accepted and not needed
+            ef = self.value().value
         self.need(")")
         score = None
         if call:
             self.need("YIELD")
             var = self.name()
             score = self.name() if self.eat(",") else None
-        self.q.near.append((var, space, k, score))
+        self.q.near.append((var, space, k, score, ef))
 
     def node(self) -> str:
         self.need("(")
@@ -341,12 +341,12 @@ class Cypher:
 
     def candidates(self, q: Query, patterns: list[Pattern]) -> Solutions | None:
         seed = None
-        for var, space, k, score in q.near:
+        for var, space, k, score, ef in q.near:
             allowed = None
             own = [p for p in patterns if p.vars() == [var]]
             if own:  # filters on the node alone come before the ranking, so k results are found if there are k
                 allowed = self.builder.conjunction(own).df.select(F.col(f"`{var}`")["str"].alias("node")).distinct()
-            hits = self.vectors(space, k, allowed)
+            hits = self.vectors(space, k, allowed, **({"ef": ef} if ef else {}))
             names = [var] + ([score] if score else [])
             df = hits.select(terms.node(F.col("node")).alias(var), *([terms.double(F.col("score")).alias(score)] if score else []))
             found = Solutions(df, tuple(names), frozenset(names))
@@ -356,34 +356,52 @@ class Cypher:
     def holders(self, q: Query, test: tuple, params: dict, graph: Graph) -> tuple[str, DataFrame]:
         """Variable of a test, and keys ``(k)`` of the nodes or edges that pass it."""
         op, var, prop, raw = test
-        value = self.constant(raw, params)
-        p = Value("U", self.vocabulary.expand(prop))
         if var in q.edges:
-            notes = latest_annotations(self.snapshot.annotations).where(F.col("p") == p.value)
-            rows, subject = notes, F.concat(F.lit("U:"), F.col("edge_id"))
-        else:
-            rows, subject = self.snapshot.scan(p=p, graph=graph), F.concat(F.lit("U:"), F.col("s"))
-        o, v = F.col("o"), value.column()
+            return var, self.edge_holders([test], params)
+        rows = self.snapshot.scan(p=Value("U", self.vocabulary.expand(prop)), graph=graph)
+        keys = rows.where(self.holds(op, F.col("o"), self.constant(raw, params), False)).select(F.concat(F.lit("U:"), F.col("s")).alias("k"))
+        return var, keys if self.snapshot.one_value(self.vocabulary.expand(prop)) else keys.distinct()
+
+    def edge_holders(self, tests: list[tuple], params: dict) -> DataFrame:
+        """Keys ``(k)`` of the edges whose latest annotations pass all tests: one aggregation by edge."""
+        names = [self.vocabulary.expand(t[2]) for t in tests]
+        notes = self.snapshot.annotations.where(F.col("p").isin(*set(names)))
+        latest = [F.max_by(F.when(F.col("p") == name, F.col("o")), F.when(F.col("p") == name, F.struct("tt", F.col("o.key")))).alias(f"o{n}") for n, name in enumerate(names)]
+        held = [self.holds(t[0], F.col(f"o{n}"), self.constant(t[3], params), True) for n, t in enumerate(tests)]
+        rows = notes.groupBy("edge_id").agg(*latest).where(reduce(lambda a, b: a & b, held))
+        return rows.select(F.concat(F.lit("U:"), F.col("edge_id")).alias("k"))
+
+    def holds(self, op: str, o: Column, value: Value, on_edge: bool) -> Column:
+        """Whether a value passes a test."""
+        v = value.column()
         text = F.when(o["kind"].isin("S", "L"), o["str"])
         if op == "=":
-            hit = (o["key"] == value.key()) | ((text == v["str"]) if var in q.edges else F.lit(False))
+            hit = (o["key"] == value.key()) | ((text == v["str"]) if on_edge else F.lit(False))
         elif op == "contains":
             hit = F.contains(text, v["str"])
         elif op == "starts":
             hit = F.startswith(text, v["str"])
         elif op == "=~":
-            hit = text.rlike(value.value) if _regex_ok(value.value) else F.lit(False)
+            pattern = java_pattern(value.value, self.spark)
+            hit = F.lit(False) if pattern is None else text.rlike(pattern)
         else:
             a = F.when(o["kind"] == "L", terms.text(o["str"])).otherwise(o)
             hit = {"<": terms.less(a, v), "<=": terms.less(a, v, True), ">": terms.less(v, a), ">=": terms.less(v, a, True), "<>": ~terms.equal(a, v)}[op]
-        return var, rows.where(hit).select(subject.alias("k")).distinct()
+        return hit
 
     def filter(self, q: Query, rows: Solutions, test: tuple, params: dict, graph: Graph) -> Solutions:
         """Conjunctions are semi-joins; what is below OR or NOT becomes a flag first."""
         if test[0] == "true":
             return rows
         if test[0] == "and":
-            return self.filter(q, self.filter(q, rows, test[1], params, graph), test[2], params, graph)
+            flat = _conjuncts(test)
+            on_edge = [t for t in flat if len(t) == 4 and t[1] in q.edges]
+            for var in dict.fromkeys(t[1] for t in on_edge):
+                keys = self.edge_holders([t for t in on_edge if t[1] == var], params)
+                rows = Solutions(rows.df.join(keys, F.col(f"`{var}`")["key"] == F.col("k"), "left_semi"), rows.vars, rows.certain)
+            for t in flat:
+                rows = rows if t in on_edge else self.filter(q, rows, t, params, graph)
+            return rows
         if test[0] not in ("or", "not"):
             var, keys = self.holders(q, test, params, graph)
             return Solutions(rows.df.join(keys, F.col(f"`{var}`")["key"] == F.col("k"), "left_semi"), rows.vars, rows.certain)
@@ -400,7 +418,7 @@ class Cypher:
                 return F.lit(True)
             n = f"__f{next(count)}"
             var, keys = self.holders(q, t, params, graph)
-            df = df.join(keys.select(F.col("k").alias(n)), F.col(f"`{var}`")["key"] == F.col(n), "left")
+            df = df.join(keys.select(F.col("k").alias(n)).distinct(), F.col(f"`{var}`")["key"] == F.col(n), "left")
             return F.col(n).isNotNull()
 
         test_column = flag(test)
@@ -459,10 +477,14 @@ class Cypher:
         else:
             found = self.snapshot.scan(p=Value("U", p), graph=Graph("one", (q.graph,)) if q.graph else self.graph)
             subject = F.concat(F.lit("U:"), F.col("s")).alias("__s")
-            values = found.select(subject, F.col("o").alias(name)) if self.snapshot.single else found.groupBy(subject).agg(F.min_by("o", F.col("o.key")).alias(name))
+            values = found.select(subject, F.col("o").alias(name)) if self.snapshot.one_value(p) else found.groupBy(subject).agg(F.min_by("o", F.col("o.key")).alias(name))
         return df.join(values, F.col(f"`{e[1]}`")["key"] == F.col("__s"), "left").drop("__s")
 
 
+def _conjuncts(test: tuple) -> list[tuple]:
+    return [*_conjuncts(test[1]), *_conjuncts(test[2])] if test[0] == "and" else [test]
+
+
 def _aggregate(e: tuple, term) -> Column:
     """Sums and means are doubles over what is numeric; COLLECT is a sorted list as JSON text."""
     _, name, inner, distinct = e
@@ -480,12 +502,47 @@ def _aggregate(e: tuple, term) -> Column:
     return {"AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](num)
 
 
-def _regex_ok(pattern: str) -> bool:
-    """Whether a pattern keeps to what a linear-time matcher takes: no lookaround, no back reference."""
-    if re.search(r"\(\?[=!<]|\\[1-9]", pattern):
-        return False
+#: POSIX classes in brackets, as Java spells them.
+_POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "punct": "Punct", "graph": "Graph", "print": "Print", "blank": "Blank", "cntrl": "Cntrl", "xdigit": "XDigit", "space": "Space"}
+_POSIX_CLASS = re.compile(r"\[:(\^?)(\w+):\]")
+
+
+def java_pattern(pattern: str, spark) -> str | None:
+    """A pattern in the syntax of the engine that runs it, or None if it is not valid: what a linear-time
+    matcher does not take (looking around, back references, atomic groups) is not."""
+    out, at, depth, names = [], 0, 0, 0
+    while at < len(pattern):
+        rest = pattern[at:]
+        if rest[0] == "\\":
+            if len(rest) < 2 or rest[1] in "123456789kGZ":
+                return None
+            braced = re.match(r"\\[uU]\{([0-9A-Fa-f]{1,8})\}", rest)
+            out.append(f"\\x{{{braced[1]}}}" if braced else rest[:2])
+            at += len(braced[0]) if braced else 2
+        elif depth and (posix := _POSIX_CLASS.match(rest)):
+            if posix[2] not in _POSIX:
+                return None
+            out.append(f"\\{'P' if posix[1] else 'p'}{{{_POSIX[posix[2]]}}}")
+            at += len(posix[0])
+        elif rest[0] in "[]":
+            depth += 1 if rest[0] == "[" else -1 if depth else 0
+            out.append(rest[0])
+            at += 1
+            # a bracket right after the opening one is a character
+            if rest[0] == "[" and (first := re.match(r"\^?\]", pattern[at:])):
+                out.append(first[0].replace("]", "\\]"))
+                at += len(first[0])
+        elif not depth and (named := re.match(r"\(\?P?<(\w+)>", rest)):
+            out.append(f"(?<g{names}>")  # names are of no use in a test, and Java takes fewer
+            names += 1
+            at += len(named[0])
+        elif not depth and re.match(r"\(\?(?:[=!>]|<[=!])", rest):
+            return None
+        else:
+            out.append(rest[0])
+            at += 1
     try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
+        spark._jvm.java.util.regex.Pattern.compile("".join(out))
+    except Exception:  # py4j wraps PatternSyntaxException
+        return None
+    return "".join(out)

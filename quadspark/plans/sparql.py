@@ -136,15 +136,19 @@ class Sparql:
         if name == "SAMPLE":
             return F.min_by(t, key)
         if name == "GROUP_CONCAT":
-            texts = F.collect_set(F.struct(order.alias("o"), terms.lexical(t).alias("x"))) if distinct else F.collect_list(F.struct(order.alias("o"), terms.lexical(t).alias("x")))
-            texts = F.filter(texts, lambda x: x["x"].isNotNull())
-            return terms.text(F.array_join(F.transform(F.array_sort(texts), lambda x: x["x"]), separator))
+            # terms are put in order after they are gathered, so that each distinct one is looked at once
+            texts = F.filter((F.collect_set if distinct else F.collect_list)(t), lambda x: terms.lexical(x).isNotNull())
+            ordered = F.array_sort(F.transform(texts, lambda x: F.struct(terms.order_key(x).alias("o"), terms.lexical(x).alias("x"))))
+            return terms.text(F.array_join(F.transform(ordered, lambda x: x["x"]), separator))
         # SUM and AVG: over distinct terms each counts once; one that is no number makes an error
         if distinct:
-            each = F.collect_set(F.when(key.isNotNull(), F.struct(key.alias("k"), num.alias("n"), t["int"].alias("i"))))
-            n, bad = F.size(each), F.size(F.filter(each, lambda x: x["n"].isNull()))
-            total = F.aggregate(each, F.lit(0.0), lambda a, x: a + F.coalesce(x["n"], F.lit(0.0)))
-            whole = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: F.try_add(a, x["i"]))
+            # distinct integers and doubles are distinct terms; other numeric literals are rare enough for a set
+            other = F.collect_set(F.when((t["kind"] == "T") & num.isNotNull(), F.struct(key.alias("k"), num.alias("n"))))
+            zero = lambda c: F.coalesce(c, F.lit(0.0))
+            n, bad = F.count_distinct(key), F.count(F.when(key.isNotNull() & num.isNull(), 1))
+            total = zero(F.sum_distinct(t["int"].cast("double"))) + zero(F.sum_distinct(t["dbl"])) + F.aggregate(other, F.lit(0.0), lambda a, x: a + x["n"])
+            ints = F.count_distinct(t["int"])
+            whole = F.when(ints == n, F.coalesce(F.sum_distinct(t["int"]), F.lit(0).cast("long")))
         else:
             n, bad = F.count(key), F.count(F.when(key.isNotNull() & num.isNull(), 1))
             total, whole = F.coalesce(F.sum(num), F.lit(0.0)), F.when(F.count(F.when(t["int"].isNotNull(), 1)) == F.count(key), F.coalesce(F.try_sum(t["int"]), F.when(F.count(key) == 0, F.lit(0).cast("long"))))
@@ -184,7 +188,7 @@ class Sparql:
         if kind == "minus":
             left, right = self.group(node[1]), self.group(node[2])
             shared = [v for v in left.vars if v in right.vars]
-            return join(left, right.select(shared), "left_anti") if shared else left
+            return join(left, right.select(shared), "left_anti", overlap=True) if shared else left
         if kind == "bind":
             rows = self.group(node[1])
             return _with(rows, node[3], self.expr(node[2], rows))
