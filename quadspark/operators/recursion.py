@@ -22,17 +22,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def closure(edges: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """``(s, o)``: nodes reached over one edge or more from ``first`` (pairs; all edges if None).
 
-    A start is in its own closure only over a cycle.
+    A start is in its own closure only over a cycle. From a start the frontier moves an edge a round. The
+    whole closure doubles: pairs at a distance of up to 2^n come from the newest ones joined to all known,
+    so rounds grow with the logarithm of the diameter.
     """
     scratch = Scratch(edges.sparkSession, "closure")
-    step = scratch.save(edges.select("s", "o").distinct(), "edges").select(F.col("s").alias("via"), F.col("o").alias("next"))
-    delta = scratch.save((edges if first is None else first).select("s", "o").distinct(), "0")
-    parts = [delta]
+    every = scratch.save(edges.select("s", "o").distinct(), "edges")
+    delta = every if first is None else scratch.save(first.select("s", "o").distinct(), "0")
+    parts, turn = [delta], 0
     while not delta.isEmpty():
+        turn += 1
+        known = _union(parts)
+        step = (known if first is None else every).select(F.col("s").alias("via"), F.col("o").alias("next"))
         found = delta.join(step, F.col("o") == F.col("via")).select("s", F.col("next").alias("o")).distinct()
-        delta = scratch.save(found.join(_union(parts), ["s", "o"], "left_anti"), str(len(parts)))
+        delta = scratch.save(found.join(known, ["s", "o"], "left_anti"), str(turn))
         parts.append(delta)
-    return _union(parts)
+    return _union(parts[:-1] if len(parts) > 1 else parts)
 
 
 def bounded(edges: DataFrame, least: int, most: int, first: DataFrame | None = None) -> DataFrame:
