@@ -142,6 +142,7 @@ class Registry:
 
     def validate(self, quads: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
         parts = [self.validate_nodes(quads), self.validate_edges(quads, annotations), self.validate_cardinality(quads), self.validate_inverses(quads)]
+        parts.append(quads.sparkSession.createDataFrame([(n, RDFS + "subClassOf", "cycle", n) for n in self.cycles()], VIOLATION))
         return reduce(DataFrame.unionByName, parts)
 
     # --- as RDF ----------------------------------------------------------------------------------
@@ -177,8 +178,10 @@ class Registry:
             first = lambda k: next(iter(ps.get(k, ())), None)  # noqa: B023, E731
             if OWL + "ObjectProperty" in ps.get(RDF_TYPE, ()):
                 out.edges[s] = EdgeType(s, first(RDFS + "domain"), first(RDFS + "range"), inverse=first(OWL + "inverseOf"))
-            elif OWL + "DatatypeProperty" in ps.get(RDF_TYPE, ()) and first(RDFS + "domain") in out.nodes:
-                out.nodes[first(RDFS + "domain")].fields[s] = Field(kinds.get(first(RDFS + "range"), "typed"))
+            if OWL + "DatatypeProperty" in ps.get(RDF_TYPE, ()):
+                for domain in ps.get(RDFS + "domain", ()):
+                    if domain in out.nodes:
+                        out.nodes[domain].fields[s] = Field(kinds.get(first(RDFS + "range"), "typed"))
         return out
 
 
@@ -186,9 +189,11 @@ def _all(parts: list[DataFrame], quads: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else quads.sparkSession.createDataFrame([], VIOLATION)
 
 
-def schema_allows(registry: Registry, quads: DataFrame, predicate: str, node: str, end: str = "domain") -> DataFrame:
-    """The node's types that a predicate's end accepts; empty means that a pattern with it has no rows."""
+def schema_allows(registry: Registry, snapshot, predicate: str, node: str, end: str = "domain") -> DataFrame | None:
+    """``(__typed)``: the node, if it is of a type that the predicate's end accepts; None if any is."""
     e = registry.edges.get(predicate)
     want = getattr(e, end) if e else None
-    types = quads.where((F.col("s") == node) & (F.col("p") == RDF_TYPE)).select(F.col("o.str").alias("type"))
-    return types if want is None else types.where(F.col("type").isin(*(registry.subtypes(want) or [want])))
+    if want is None:
+        return None
+    types = snapshot.scan(s=Value("U", node), p=Value("U", RDF_TYPE))
+    return types.where(F.col("o.str").isin(*(registry.subtypes(want) or [want]))).select(F.col("s").alias("__typed")).distinct()

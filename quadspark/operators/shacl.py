@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quadspark.functions import terms
 from quadspark.functions.terms import RDF, RDF_TYPE, RDFS, SH, TERM_DDL, Value
 from quadspark.operators import recursion
+from quadspark.scratch import Scratch
 
 REPORT = f"focus string, path string, value {TERM_DDL}, shape string, component string, severity string, message string"
 
@@ -141,19 +142,28 @@ class Validator:
         shown = "/".join(("^" if inv else "") + p for p, inv in shape.path or []) or None
         parts = []
 
-        def report(rows: DataFrame, component: str, value: Column | None = None) -> None:
+        def report(rows: DataFrame, component: str | Column, value: Column | None = None) -> None:
+            name = F.lit(component) if isinstance(component, str) else component
+            shown_name = F.concat(F.lit(SH), F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 100), F.lit("ConstraintComponent"))
             parts.append(rows.select(
                 "focus", F.lit(shown).cast("string").alias("path"), (value if value is not None else F.lit(None).cast(terms.TERM)).alias("value"), F.lit(iri).alias("shape"),
-                F.lit(SH + component[0].upper() + component[1:] + "ConstraintComponent").alias("component"), F.lit(shape.severity).alias("severity"), F.lit(shape.message or component).alias("message"),
+                shown_name.alias("component"), F.lit(shape.severity).alias("severity"), (F.lit(shape.message) if shape.message else name).alias("message"),
             ))
 
         v = F.col("value")
+        # all tests of single values in one pass, all counts in another
+        local = [(name, arg) for name, arg in shape.constraints if name not in ("minCount", "maxCount", "class", "node", "closed")]
+        if local:
+            broken = [F.when(~F.coalesce(self._holds(name, arg, v), F.lit(False)), F.lit(name)) for name, arg in local]
+            report(values.withColumn("broken", F.explode(F.array_compact(F.array(*broken)))), F.col("broken"), v)
+        limits = [(name, arg) for name, arg in shape.constraints if name in ("minCount", "maxCount")]
+        if limits:
+            counts = focus.select(F.col("n").alias("focus")).join(values.groupBy("focus").agg(F.count(F.lit(1)).alias("c")), "focus", "left")
+            have = F.coalesce("c", F.lit(0))
+            broken = [F.when(have < arg.value if name == "minCount" else have > arg.value, F.lit(name)) for name, arg in limits]
+            report(counts.withColumn("broken", F.explode(F.array_compact(F.array(*broken)))), F.col("broken"))
         for name, arg in shape.constraints:
-            if name in ("minCount", "maxCount"):
-                counts = focus.select(F.col("n").alias("focus")).join(values.groupBy("focus").agg(F.count(F.lit(1)).alias("c")), "focus", "left")
-                have = F.coalesce("c", F.lit(0))
-                report(counts.where(have < arg.value if name == "minCount" else have > arg.value), name)
-            elif name == "class":
+            if name == "class":
                 good = self.below(arg.value).select(F.concat(F.lit("U:"), F.col("n")).alias("k"))
                 report(values.withColumn("k", F.col("value.key")).join(good, "k", "left_anti"), name, v)
             elif name == "node":
@@ -166,8 +176,6 @@ class Validator:
                 known = [p for q in shape.properties for p, inv in (self.shapes[q].path or [])[:1] if not inv] + arg
                 own = self.quads.join(focus, F.col("s") == F.col("n"), "left_semi")
                 report((own.where(~F.col("p").isin(*known)) if known else own).select(F.col("s").alias("focus"), F.col("o").alias("value")), name, v)
-            else:
-                report(values.where(~F.coalesce(self._holds(name, arg, v), F.lit(False))), name, v)
         for prop in shape.properties:
             if prop not in path_above:
                 parts.append(self.check(prop, focus, (*path_above, iri)))
@@ -195,7 +203,9 @@ class Validator:
 
     def report(self, touched: DataFrame | None = None) -> DataFrame:
         """All violations; ``touched (s)`` limits focus nodes, as after a change."""
-        parts = [self.check(iri, self.focus(s, touched)) for iri, s in self.shapes.items() if s.targets]
+        scratch = Scratch(self.spark, "shapes")
+        # focus nodes are used by every property of a shape
+        parts = [self.check(iri, scratch.save(self.focus(s, touched), f"focus-{n}")) for n, (iri, s) in enumerate(self.shapes.items()) if s.targets]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], REPORT)
 
 
