@@ -83,10 +83,12 @@ class TableStore:
         rows = self.frame(t.name).select(F.lit("").alias("g"), iri(t.name, *map(F.col, t.keys)).alias("s"), F.lit(p).alias("p"), o.alias("o"))
         return rows.where(F.col("o").isNotNull()).withColumn("edge_id", F.when(F.col("o.kind") == "U", F.concat_ws("|", "s", "p", F.col("o.key"))))
 
-    def predicate(self, name: str) -> DataFrame:
-        """Quads of one predicate, from every table that has it."""
+    def predicate(self, name: str, of_type: str | None = None) -> DataFrame:
+        """Quads of one predicate, from every table that has it; with ``of_type`` tables of that type only."""
         parts = []
         for t in self.tables:
+            if of_type not in (None, t.type):
+                continue
             if name == RDF_TYPE:
                 parts.append(self._quads(t, name, terms.node(F.lit(t.type))))
                 continue
@@ -114,7 +116,7 @@ class TableStore:
         def source(p: str | None) -> DataFrame:
             return self.predicate(p) if p is not None else reduce(DataFrame.unionByName, map(self.predicate, self.predicates()))
 
-        return Snapshot(source, one_graph=True, single=True, annotations=annotations)
+        return Snapshot(source, one_graph=True, single=True, annotations=annotations, typed=lambda t: self.predicate(RDF_TYPE, t))
 
     def lineitem_annotations(self) -> DataFrame:
         """Quantity and discount as annotations on the edge from a line to its part."""
