@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quadspark import catalog
+from quadspark import catalog, catalog_store  # noqa: F401  the second registers its queries with the first
 
 
 #: The smallest tables repeat one key of lineitem, which is then one node with doubled quads; what

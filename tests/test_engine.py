@@ -2,22 +2,26 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quadspark.engine import Engine
+from quadspark.engine import DeadlineExceeded, Engine, Malformed
 from quadspark.functions import terms
 from quadspark.functions.terms import OWL, RDF_TYPE, RDFS, XSD, Value, parse_literal
 from quadspark.operators import owl, recursion, snapshot
 from quadspark.operators.ontology import EdgeType, Field, NodeType, Registry
 from quadspark.operators.snapshot import END, QUAD_DDL, Snapshot
-from quadspark.operators.store import Conflict, Store
-from quadspark.plans.build import Builder, explain
+from quadspark.operators.store import Conflict, Expired, Store
+from quadspark.plans.build import Builder, Solutions, explain, join
+from quadspark.plans.cypher import java_pattern
 from quadspark.plans.cypher import parse as parse_cypher
-from quadspark.plans.patterns import ANY, Pattern, Var, Vocabulary, parse_pattern
+from quadspark.plans.patterns import ANY, Graph, Pattern, Var, Vocabulary, parse_pattern
 from quadspark.plans.sparql import Sparql
+from quadspark.scratch import scratch_root
 from quadspark.sources import rdf
+from quadspark.streaming import changes
 
 U = lambda x: Value("U", x)
 V = "urn:v:"
@@ -258,12 +262,263 @@ def test_patterns_and_vocabulary():
 
 
 def test_vectors(engine):
-    vec = engine.spark.createDataFrame([("s", "a", [1.0, 0.0]), ("s", "b", [0.0, 1.0]), ("s", "c", [0.6, 0.8]), ("s", "z", [0.0, 0.0]), ("s", "w", [1.0])], "space string, node string, vec array<double>")
-    engine.store.commit(rdf.quads_of(engine.spark, [("", n, RDF_TYPE, U(V + ("T" if n != "a" else "X"))) for n in "abczw"]).select("g", "s", "p", "o"), vectors=vec)
-    got = engine.vector_search("s", [1.0, 0.0], 5).collect()
-    assert [(r.node, round(r.score, 6)) for r in got] == [("a", 1.0), ("c", 0.6), ("b", 0.0), ("w", 0.0), ("z", 0.0)]
-    assert [r.node for r in engine.vector_search("s", [1.0, 0.0], 1, node_type=V + "T").collect()] == ["c"]
-    assert engine.cypher("MATCH (n:T) WHERE VECTOR_NEAR(n, 's', 1) RETURN n", near={"s": [1.0, 0.0]}).collect()[0].n == "c"
+    vec = engine.spark.createDataFrame([("s", "a", [1.0, 0.0]), ("s", "b", [0.0, 1.0]), ("s", "c", [0.6, 0.8]), ("s", "z", [0.0, 0.0])], "space string, node string, vec array<double>")
+    engine.store.commit(rdf.quads_of(engine.spark, [("", n, RDF_TYPE, U(V + ("T" if n != "a" else "X"))) for n in "abcz"]).select("g", "s", "p", "o"), vectors=vec)
+    for _ in range(2):  # exactly, then by the index
+        got = engine.vector_search("s", [1.0, 0.0], 5).collect()
+        assert [(r.node, round(r.score, 6)) for r in got] == [("a", 1.0), ("c", 0.6), ("b", 0.0), ("z", 0.0)]
+        assert [r.node for r in engine.vector_search("s", [1.0, 0.0], 1, node_type=V + "T").collect()] == ["c"]
+        assert engine.cypher("MATCH (n:T) WHERE VECTOR_NEAR(n, 's', 1) RETURN n", near={"s": [1.0, 0.0]}).collect()[0].n == "c"
+        assert engine.cypher("CALL VECTOR_NEAR(n, 's', 1, ef = 50) YIELD n, score MATCH (n) RETURN n, score", near={"s": [0.0, 1.0]}).collect()[0].n == "b"
+        engine.store.index_vectors("s")
+    with pytest.raises(ValueError, match="1 components"):
+        engine.store.commit(vectors=engine.spark.createDataFrame([("s", "w", [1.0])], "space string, node string, vec array<double>"))
+    with pytest.raises(ValueError):
+        engine.store.commit(vectors=engine.spark.createDataFrame([("t", "w", [1.0]), ("t", "x", [1.0, 2.0])], "space string, node string, vec array<double>"))
+    assert engine.store.index_vectors("empty") and engine.store.nearest("empty", [1.0], 3).count() == 0
+
+
+def test_two_writers_of_one_number(spark, tmp_path):
+    """Clocks stand still and both saw the same log: the first commit stands, the other leaves nothing."""
+    first, second = (Store(spark, str(tmp_path / "s"), lambda: 500) for _ in range(2))
+    quad = lambda o: rdf.quads_of(spark, [("", "a", "p", U(o))]).select("g", "s", "p", "o")
+    first.commit(quad("base"))
+    begun = second._begin()
+    second._begin = lambda: begun
+    first.commit(quad("kept"))
+    with pytest.raises(Conflict):
+        second.commit(quad("lost"))
+    for st in (first, Store(spark, str(tmp_path / "s"))):
+        assert sorted(r.o.str for r in st.live().collect()) == ["base", "kept"]
+
+
+def test_subscribers_see_commits_that_stand(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "s"), itertools.count(100, 100).__next__)
+    quad = lambda o: rdf.quads_of(spark, [("", "a", "p", U(o))]).select("g", "s", "p", "o")
+    seen: list = []
+    follow = lambda: changes.subscribe(spark, st, lambda df, i: seen.extend(r.o.str for r in df.collect()), str(tmp_path / "c")).awaitTermination()
+    follow()
+    st.commit(quad("one"))
+    real = st._enter
+
+    def fail(entry, number):
+        raise OSError("the log cannot be written")
+
+    st._enter = fail
+    with pytest.raises(OSError):
+        st.commit(quad("never"))
+    st._enter = real
+    follow()
+    publish, st.publish = st.publish, lambda: None  # a writer that dies once its commit stands
+    st.commit(quad("two"))
+    st.publish = publish
+    follow()
+    assert seen == ["one", "two"]
+    assert sorted(r.o.str for r in changes.batch(st).collect()) == ["one", "two"]
+
+
+def test_log_entries_that_are_not_finished(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "s"))
+    quad = lambda o: rdf.quads_of(spark, [("", "a", "p", U(o))]).select("g", "s", "p", "o")
+    st.commit(quad("x"))
+    (tmp_path / "s" / "log" / f"{1:012d}.json").write_text('{"ts": 9')
+    again = Store(spark, str(tmp_path / "s"))
+    again.commit(quad("y"))
+    assert sorted(r.o.str for r in Store(spark, str(tmp_path / "s")).live().collect()) == ["x", "y"]
+
+
+def test_compaction_keeps_every_read(spark, tmp_path):
+    """Random commits against plain Python, before and after compactions, now and as of any commit."""
+    rng = random.Random(3)
+    st = Store(spark, str(tmp_path / "s"), itertools.count(100, 100).__next__)
+    model: dict = {}
+    past = {}
+    frame = lambda rows: rdf.quads_of(spark, rows).select("g", "s", "p", "o")
+    for turn in range(8):
+        subjects = rng.sample("abcdef", 3)
+        rows = [(rng.choice(["", "g"]), s, "p", Value.of(rng.randrange(4))) for s in subjects]
+        mode = rng.choice(["add", "replace"])
+        gone = [(*k, Value.of(v)) for k, vs in model.items() for v in vs if k[1] not in subjects and rng.random() < 0.3]
+        at = st.commit(frame(rows), frame(gone) if gone else None, mode=mode)
+        for g, s, p, o in rows:
+            model[g, s, p] = (model.get((g, s, p), set()) if mode == "add" else set()) | {o.value}
+        for g, s, p, o in gone:
+            model[g, s, p].discard(o.value)
+        past[at] = {(*k, v) for k, vs in model.items() for v in vs}
+        if turn in (3, 5):
+            st.compact()
+            st.vacuum(older_seconds=0)
+        read = lambda df: {(r.g, r.s, r.p, r.o.int) for r in df.collect()}
+        assert read(st.live()) == past[at] == read(st.snapshot().scan(graph=Graph("all")))
+        some = Value.of(rng.randrange(4))
+        assert read(st.snapshot().scan(p=U("p"), o=some, graph=Graph("all"))) == {x for x in past[at] if x[3] == some.value}
+    for at, want in past.items():
+        assert read(st.live(tt=at)) == want
+    st.retained = st.compact(tx_cutoff=max(past))
+    assert read(st.live()) == past[max(past)]
+
+
+def test_current_reads_have_no_shuffle(spark, tmp_path):
+    st = Store(spark, str(tmp_path / "s"))
+    st.bulk_load(rdf.quads_of(spark, [("", f"n{i}", "p", U(f"n{i // 2}")) for i in range(50)]))
+    st.compact()
+    plan = st.snapshot().scan(p=U("p"), o=U("n3"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "EqualTo(p,p)" in plan and "o.key" in plan.split("PushedFilters")[1]
+
+
+def test_transactions_expire(engine):
+    tx = engine.store.begin(idle_seconds=60)
+    tx.add(rdf.quads_of(engine.spark, [("", "a", V + "n", Value.of(2))]))
+    tx.used -= 61
+    with pytest.raises(Expired):
+        tx.commit()
+    assert engine.store.log() == []
+
+
+def test_deadline(engine):
+    slow = engine.spark.range(4, numPartitions=4).select(F.expr("java_method('java.lang.Thread', 'sleep', 4000L)"))
+    with pytest.raises(DeadlineExceeded), engine.deadline(0.7):
+        slow.write.format("noop").mode("overwrite").save()
+    with engine.deadline(30):
+        assert engine.spark.range(3).count() == 3
+    assert engine.spark.range(3).count() == 3
+
+
+def unescaped(text):
+    """A plain reader of the escapes of the line formats; None if they are wrong."""
+    out, at = [], 0
+    short = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+    while at < len(text):
+        if text[at] != "\\":
+            out.append(text[at])
+            at += 1
+            continue
+        kind = text[at + 1 : at + 2]
+        if kind in short and kind:
+            out.append(short[kind])
+            at += 2
+            continue
+        n = {"u": 4, "U": 8}.get(kind)
+        digits = text[at + 2 : at + 2 + n] if n else ""
+        if not n or len(digits) < n or not all(c in "0123456789abcdefABCDEF" for c in digits) or int(digits, 16) > 0x10FFFF:
+            return None
+        out.append(chr(int(digits, 16)))
+        at += 2 + n
+    whole = "".join(out).encode("utf-16", "surrogatepass")
+    try:
+        return whole.decode("utf-16")
+    except UnicodeDecodeError:
+        return None
+
+
+def test_rdf_escapes_against_brute_force(spark, tmp_path, engine):
+    rng = random.Random(17)
+    parts = ["a", "é", "\U0001f600", "\t", " ", "\\\\", '\\"', "\\'", "\\n", "\\t", "\\r", "\\b", "\\f", "\\u0041", "\\u00e9", "\\U0001F600", "\\uD83D\\uDE00", "\\uFEFF", "u0041", "'", "\\x", "\\u12", "\\uD83D", "\\U00110000"]
+    texts = ["".join(rng.choice(parts[: 20 if n % 3 else 24]) for _ in range(rng.randrange(9))) for n in range(500)]
+    (tmp_path / "x.nt").write_text("".join(f'<s{n}> <p> "{t}" .\n' for n, t in enumerate(texts)))
+    good, bad = rdf.read_lines(spark, str(tmp_path / "x.nt"))
+    got = {int(r.s[1:]): r.o.str for r in good.collect()}
+    want = {n: unescaped(t) for n, t in enumerate(texts)}
+    assert got == {n: t for n, t in want.items() if t is not None}
+    assert bad.count() == sum(t is None for t in want.values()) > 0
+    with pytest.raises(Malformed):
+        engine.read_rdf(str(tmp_path / "x.nt"), "nt")
+    assert engine.store.log() == []
+    engine.read_rdf(str(tmp_path / "x.nt"), "nt", skip_malformed=True)
+    assert engine.store.live().count() == len(got)
+
+
+def test_joins_with_unbound_variables(spark):
+    """All kinds of join on variables that are bound in some rows only, against brute force."""
+    rng = random.Random(5)
+    rows = {side: [tuple(rng.choice([None, "x", "y", "z"]) for _ in range(3)) for _ in range(14)] for side in "ab"}
+    names = {"a": ("u", "v", "w"), "b": ("v", "w", "t")}
+
+    def solutions(side, certain):
+        own = [r for r in rows[side] if all(x is not None for n, x in zip(names[side], r, strict=True) if n in certain)]
+        df = spark.createDataFrame(own, ", ".join(f"{n} string" for n in names[side])).select(*[terms.node(F.col(n)).alias(n) for n in names[side]])
+        return Solutions(df, names[side], frozenset(certain)), [dict(zip(names[side], r, strict=True)) for r in own]
+
+    for certain in (set(), {"v"}, {"v", "w"}):
+        (a, left), (b, right) = solutions("a", certain - {"u"}), solutions("b", certain)
+        agree = lambda x, y: all(x[n] is None or y[n] is None or x[n] == y[n] for n in ("v", "w"))
+        overlap = lambda x, y: any(x[n] is not None and y[n] is not None for n in ("v", "w"))
+        merged = lambda x, y: tuple(x.get(n) if x.get(n) is not None else (y or {}).get(n) for n in ("u", "v", "w", "t"))
+        read = lambda s: sorted((tuple(r[n] and r[n].str for n in ("u", "v", "w", "t") if n in s.vars) for r in s.df.collect()), key=str)
+        inner = [merged(x, y) for x in left for y in right if agree(x, y)]
+        assert read(join(a, b)) == sorted(inner, key=str)
+        alone = [x for x in left if not any(agree(x, y) for y in right)]
+        assert read(join(a, b, "left")) == sorted(inner + [merged(x, None) for x in alone], key=str)
+        three = lambda xs: sorted((tuple(x[n] for n in ("u", "v", "w")) for x in xs), key=str)
+        assert read(join(a, b, "left_anti")) == three(alone)
+        assert read(join(a, b, "left_semi")) == three([x for x in left if any(agree(x, y) for y in right)])
+        assert read(join(a, b, "left_anti", overlap=True)) == three([x for x in left if not any(agree(x, y) and overlap(x, y) for y in right)])
+
+
+def test_patterns_of_the_engine_that_runs_them(spark):
+    ok = {r"\p{L}+": ("é", "1"), r"(?P<x>abc)": ("xabcx", "ab"), r"^[[:alpha:]]+$": ("ab", "a1"), r"[]a]": ("]", "b"), r"a{2,3}": ("caab", "ca"), r"\.": (".", "a"), r"\u{41}": ("A", "B"), "(?i)AB": ("xab", "b"), r"[(?=]": ("(", "b")}
+    for pattern, (yes, no) in ok.items():
+        translated = java_pattern(pattern, spark)
+        assert translated is not None, pattern
+        assert [r[0] for r in spark.createDataFrame([(yes,), (no,)], "t string").select(F.col("t").rlike(translated)).collect()] == [True, False], pattern
+    assert [java_pattern(p, spark) for p in (r"(?=a)", r"(?<!a)b", r"(a)\1", "(", "[a", r"(?>a)", "[[:nope:]]")] == [None] * 7
+
+
+def test_inference_by_log_and_in_whole_agree(engine):
+    """Random changes of a small graph with every kind of rule; each run by the log gives what a whole run would."""
+    rng = random.Random(23)
+    rules = [("A", RDFS + "subClassOf", "B"), ("B", RDFS + "subClassOf", "C"), ("p", RDFS + "subPropertyOf", "q"), ("q", OWL + "inverseOf", "i"), ("q", RDF_TYPE, OWL + "TransitiveProperty"), ("p", RDFS + "domain", "A"), ("i", RDFS + "range", "D"), ("s", RDF_TYPE, OWL + "SymmetricProperty"), ("s", RDFS + "subPropertyOf", "q")]
+    engine.insert([("", s, p, U(o)) for s, p, o in rules])
+    facts: set = set()
+    for _ in range(3):
+        add = {("", rng.choice("mnox"), rng.choice("pqs"), rng.choice("mnox")) for _ in range(4)} - facts
+        gone = set(rng.sample(sorted(facts), min(3, len(facts))))
+        frame = lambda rows: rdf.quads_of(engine.spark, [(g, s, p, U(o)) for g, s, p, o in sorted(rows)]).select("g", "s", "p", "o") if rows else None
+        engine.store.commit(frame(add), frame(gone))
+        facts = facts - gone | add
+        engine.materialize()
+        live = engine.store.live()
+        got = {(r.g, r.s, r.p, r.o.key) for r in live.where(F.col("g").startswith("urn:q:inferred:")).collect()}
+        assert got == {(r.g, r.s, r.p, r.o.key) for r in owl.materialize(live.select("g", "s", "p", "o")).collect()}
+
+
+def test_small_and_large_schemas_agree(spark, monkeypatch):
+    """The closed form on the driver and the distributed rounds, over random schemas in several graphs."""
+    rng = random.Random(31)
+    for _ in range(3):
+        rows = []
+        for _ in range(7):
+            kind = rng.choice([RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range", OWL + "inverseOf", "sym", "trans"])
+            a, b = (rng.choice("ABC"), rng.choice("ABC")) if kind.endswith("subClassOf") else (rng.choice("pqr"), rng.choice("ABC") if kind.endswith(("domain", "range")) else rng.choice("pqr"))
+            g = rng.choice(["", "g"])
+            rows.append((g, a, RDF_TYPE, U(OWL + "SymmetricProperty")) if kind == "sym" else (g, a, RDF_TYPE, U(OWL + "TransitiveProperty")) if kind == "trans" else (g, a, kind, U(b)))
+        rows += [(rng.choice(["", "g"]), rng.choice("xyz"), rng.choice("pqr"), U(rng.choice("xyz")) if rng.random() < 0.85 else Value.of(3)) for _ in range(7)]
+        rows += [("", "x", RDF_TYPE, U("A")), ("", "x", OWL + "sameAs", U("y"))]
+        quads = rdf.quads_of(spark, rows)
+        read = lambda: {(r.g, r.s, r.p, r.o.key) for r in owl.materialize(quads).collect()}  # noqa: B023, E731
+        small = read()
+        monkeypatch.setattr(owl, "SMALL", -1)
+        assert small == read()
+        monkeypatch.undo()
+
+
+def test_scratch_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(RuntimeError):
+        scratch_root(Fake)
 
 
 def test_sparql_syntax_errors(spark):
