@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quadspark.llm.common import map_texts
 from quadspark.scratch import Scratch
 
+#: Texts with a share of 1 / HOT of all rows or more, and LEAST_HOT copies, are joined by broadcast.
+HOT, LEAST_HOT = 10_000, 1_000
 CACHE_SCHEMA = "digest binary, n_tokens bigint, tokenizer string"
 
 
@@ -65,7 +67,8 @@ def count_tokens(docs: DataFrame, cache_dir: str | None = None, path: str | None
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = file_digest(path)
-    cache_dir = cache_dir or f"{Scratch(spark, 'token-cache').root}/cache"
+    scratch = Scratch(spark, "token-counts")
+    cache_dir = cache_dir or f"{scratch.root}/cache"
 
     def cached() -> DataFrame:
         empty = spark.createDataFrame([], CACHE_SCHEMA)
@@ -79,6 +82,14 @@ def count_tokens(docs: DataFrame, cache_dir: str | None = None, path: str | None
     counted = map_texts(missing, counter(path), pa.schema([("n_tokens", pa.int64())]), "digest", "__content")
     counted.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
 
+    # texts with very many copies take their count from a table of at most HOT rows, so no task gets all
+    # copies of one; the bound holds as each of them has more than one row in HOT
     rows = docs.select(F.col(id_col), F.unhex(F.sha2(text, 256)).alias("__digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = scratch.save(rows, "rows")
+    least = max(LEAST_HOT, rows.count() // HOT + 1)
+    hot = rows.groupBy("__digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("__digest")
+    hot = scratch.save(hot, "hot")
     counts = cached().withColumnRenamed("digest", "__digest")
-    return rows.join(counts, "__digest").select(F.col(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    often = rows.join(F.broadcast(counts.join(F.broadcast(hot), "__digest", "left_semi")), "__digest")
+    seldom = rows.join(F.broadcast(hot), "__digest", "left_anti").join(counts, "__digest")
+    return often.unionByName(seldom).select(F.col(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -709,6 +709,15 @@ def test_token_counts_and_cache(spark, odd, docs, empty, tmp_path):
     assert pieces == 5 and token_counts.count_tokens(empty, cache).count() == 0
 
 
+def test_token_counts_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "LEAST_HOT", 20)
+    rows = [(n, "the same text", 5) for n in range(60)] + [(None, None, 5)] * 30 + [(n, f"text {n}", 5) for n in range(100, 140)] + [(7, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((i or 0, len(t or ""), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df).collect()) == want
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------------
 
 def brute_components(rows, width, percent):
