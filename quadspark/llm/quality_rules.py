@@ -29,6 +29,8 @@ from quadspark.scratch import Scratch
 
 #: Texts that a script's fixed band counts as.
 PRIOR = 20
+#: Kinds of text that are joined by broadcast, at most.
+HOT = 10_000
 #: Robust standard deviations to both sides of the median, and the least of one for each measure.
 SPREAD = 3.5
 LEAST = {"chars_per_token": 0.08, "byte_share": 0.01, "token_entropy": 0.02}
@@ -197,9 +199,14 @@ def fertility(docs: DataFrame, bands: dict[str, Band] | None = None, spread: flo
     scratch = Scratch(docs.sparkSession, "fertility")
     rows = scratch.save(measures(docs, bpe_path, piece_path, id_col, text_col, lang_col), "measures")
     limits = calibrated(rows, bands or BANDS, spread)
+    limits = scratch.save(limits, "bands")
     kind = ["script", "__lang", "length"]
-    judged = rows.withColumn("length", length_class()).join(limits, kind, "left")
+    passed = rows.where(~F.col("base_failed")).withColumn("length", length_class())
+    # kinds with a share of 1 / HOT of all rows or more are HOT at most, so they go to all tasks and no
+    # task gets all rows of one; the others are joined
+    few = F.broadcast(limits.where(F.col("n") >= rows.count() // HOT + 1))
+    judged = passed.join(few, kind).unionByName(passed.join(few.select(*kind), kind, "left_anti").join(limits, kind))
     within = [F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")) for m in LEAST]
-    kept = ~F.col("base_failed") & F.coalesce(within[0] & within[1] & within[2], F.lit(False))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(F.col(id_col), *names, kept.alias("kept"), "script", "chars_per_token", "byte_share", "token_entropy")
+    shown = lambda df, kept: df.select(F.col(id_col), *names, kept.alias("kept"), "script", "chars_per_token", "byte_share", "token_entropy")
+    return shown(judged, within[0] & within[1] & within[2]).unionByName(shown(rows.where("base_failed"), F.lit(False)))
