@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 from operator import or_
 
 import numpy as np
@@ -69,6 +70,9 @@ def token_bytes(definition: str) -> list[bytes]:
 
 def char_offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Character start and end of each token, and how many tokens have a bound within a character."""
+    if text.isascii():
+        ends = np.cumsum(lengths)
+        return ends - lengths, ends, 0
     data = np.frombuffer(text, np.uint8)
     head = (data & 0xC0) != 0x80
     before = np.concatenate([[0], np.cumsum(head)])  # characters begun before each byte
@@ -89,7 +93,8 @@ class Codec:
 
     CACHE = 400_000  # pieces kept, each of at most 64 characters: about 160 MB
 
-    def __init__(self, definition: str, table: list[bytes], pattern: str):
+    def __init__(self, definition: str, table: list[bytes], pattern: str, digests: bool = True):
+        """Without ``digests`` pieces are kept without their text and bytes."""
         gc.set_threshold(200_000)  # the cache makes many objects and no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
@@ -101,6 +106,7 @@ class Codec:
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.within = [bool(t) and 0x80 <= t[0] < 0xC0 for t in table]  # tokens that begin within a character
         self.matches = regex.compile(pattern).findall
+        self.digests = digests
         self.cache: dict[str, Piece] = {}
 
     def pieces(self, texts: list[str]) -> Iterator[list[Piece]]:
@@ -123,12 +129,15 @@ class Codec:
         if not text.isascii():
             within = [self.within[i] for i in ids]
             split = sum(map(or_, within, within[1:] + [False])) if any(within) else 0
+        if not self.digests:
+            return tuple(ids), "", b"", split
         names = self.names
         return tuple(ids), " ".join([names[i] for i in ids]), self.decode(ids), split
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+        """Ids of each text, and how many tokens have a bound within a character."""
         for pieces in self.pieces(texts):
-            yield [i for p in pieces for i in p[0]]
+            yield np.fromiter(chain.from_iterable([p[0] for p in pieces]), np.int32), sum([p[3] for p in pieces])
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.table
@@ -152,16 +161,19 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     fields = [("ids", pa.list_(pa.int32()))] + [("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))] * offsets + [("n_split", pa.int64())] + [("decoded_sha256", pa.string())] * decoded
 
     def make():
-        codec = Codec(*model.value)
+        codec = Codec(*model.value, digests=False)
 
         def work(texts):
-            out = {"ids": [], "starts": [], "ends": [], "n_split": [], "decoded_sha256": []}
-            for text, ids in zip(texts, codec.encode(texts), strict=True):
-                starts, ends, split = char_offsets(text.encode(), codec.lengths[ids])
-                for name, value in (("ids", ids), ("starts", starts), ("ends", ends), ("n_split", split)):
-                    out[name].append(value)
-                if decoded:
-                    out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            found = list(codec.encode(texts))
+            # lists of all texts are one run of numbers each, cut at the same places
+            bounds = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in found])]).astype(np.int32)
+            lists = lambda parts: pa.ListArray.from_arrays(bounds, np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32))
+            out = {"ids": lists([ids for ids, _ in found]), "n_split": [split for _, split in found]}
+            if offsets:
+                at = [char_offsets(text.encode(), codec.lengths[ids]) for text, (ids, _) in zip(texts, found, strict=True)]
+                out |= {"starts": lists([a[0] for a in at]), "ends": lists([a[1] for a in at])}
+            if decoded:
+                out["decoded_sha256"] = [hashlib.sha256(codec.decode(ids.tolist())).hexdigest() for ids, _ in found]
             return out
 
         return work

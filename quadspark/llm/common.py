@@ -65,7 +65,7 @@ def slices(sizes: Iterable[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int
 
 def map_texts(
     df: DataFrame,
-    make: Callable[[], Callable[[list[str]], dict[str, list]]],
+    make: Callable[[], Callable[[list[str]], dict[str, list | pa.Array]]],
     schema: pa.Schema,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -91,7 +91,7 @@ def map_texts(
                 texts = part.column("__text").to_pylist()
                 got = work(texts if nulls else [t or "" for t in texts])
                 arrays = [part.column(c) for c in cols]
-                arrays += [pa.array(got[f.name], type=f.type) for f in schema]
+                arrays += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *schema.names])
 
     return picked.mapInArrow(releasing(run), out)
