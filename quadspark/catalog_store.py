@@ -258,6 +258,23 @@ def schema_pruned_scan(spark, folder):
     return constant(spark, [("typed", count(b, D + "nation:3")), ("untyped", count(stray, D + "stray"))], "what string, n int")
 
 
+@query("""SELECT 'indexed' AS how, 'urn:d:customer:' || c_custkey AS s FROM customer WHERE contains(lower(c_name), 'er#00000001') UNION ALL SELECT 'scanned', 'urn:d:customer:' || c_custkey FROM customer WHERE contains(lower(c_name), 'er#00000001')
+UNION ALL SELECT 'short', 'urn:d:customer:' || c_custkey FROM customer WHERE contains(c_mktsegment, 'BU')""")
+def text_index(spark, folder):
+    """Text search by trigrams, by a scan once something was committed after the index, and for two letters."""
+    st = fresh(spark, "text")
+    snap = store(spark, folder)
+    st.bulk_load(rdf.with_edges(snap.source(D + "c_name").unionByName(snap.source(D + "c_mktsegment")).select(*COLS)))
+    st.compact()
+    st.index_text()
+    e = Engine(spark, st)
+    scratch = Scratch(spark, "text-rows")
+    found = lambda how, text: scratch.save(e.text_search(text).select(F.lit(how).alias("how"), "s"), how)
+    out = found("indexed", "ER#00000001").unionByName(found("short", "bu"))
+    e.insert([("", "urn:x", D + "note", Value("S", "other"))])
+    return out.unionByName(found("scanned", "er#00000001"))
+
+
 # --- Cypher ------------------------------------------------------------------------------------------------
 
 

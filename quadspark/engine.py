@@ -15,7 +15,7 @@ from quadspark.functions import terms
 from quadspark.functions.terms import RDF_TYPE, Value
 from quadspark.operators import owl, shacl
 from quadspark.operators.ontology import Registry
-from quadspark.operators.snapshot import INFERRED, Snapshot, history, latest_annotations, text_search
+from quadspark.operators.snapshot import INFERRED, Snapshot, history, latest_annotations
 from quadspark.operators.store import Store
 from quadspark.plans import cypher, sparql_parser
 from quadspark.plans.build import Builder, Solutions, explain
@@ -151,7 +151,8 @@ class Engine:
         return self.datalog(patterns, seed=hits)
 
     def text_search(self, text: str, predicate: str | None = None) -> DataFrame:
-        return text_search(self.snapshot().scan(), text, predicate)
+        """Live literals that contain the text, in whatever case, by the text index where it is up to date."""
+        return self.store.search_text(text, predicate)
 
     def history(self, subject: str, predicate: str, limit: int | None = 50) -> DataFrame:
         return history(self.store.versions(), subject, predicate, limit)

@@ -161,11 +161,35 @@ def retain(versions: DataFrame, tx_cutoff: int | None = None, vt_cutoff: int | N
     return rows.drop("__k")
 
 
-def text_search(quads: DataFrame, query: str, predicate: str | None = None, max_bytes: int = 512) -> DataFrame:
-    """Literals of at most ``max_bytes`` bytes that contain the query, in whatever case."""
+#: Longest literal that text search looks at, in bytes.
+TEXT_BYTES = 512
+
+
+def texts(quads: DataFrame, predicate: str | None = None, max_bytes: int = TEXT_BYTES) -> DataFrame:
     rows = quads.where(F.col("o.kind").isin("S", "L") & (F.octet_length("o.str") <= max_bytes))
+    return rows if predicate is None else rows.where(F.col("p") == predicate)
+
+
+def text_search(quads: DataFrame, query: str, predicate: str | None = None, max_bytes: int = TEXT_BYTES) -> DataFrame:
+    """Literals of at most ``max_bytes`` bytes that contain the query, in whatever case."""
+    return texts(quads, predicate, max_bytes).where(F.contains(F.lower("o.str"), F.lit(query.lower())))
+
+
+def trigrams(quads: DataFrame) -> DataFrame:
+    """``(gram, g, s, p, key)``: the different runs of three characters of each short literal, in lower case."""
+    low = F.lower("o.str")
+    starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
+    grams = F.array_distinct(F.transform(starts, lambda at: F.substring(low, at, 3)))
+    return texts(quads).select(F.explode(grams).alias("gram"), "g", "s", "p", F.col("o.key").alias("key"))
+
+
+def gram_hits(index: DataFrame, query: str, predicate: str | None = None) -> DataFrame:
+    """``(g, s, p, key)`` of literals that have all trigrams of the query (three characters or more)."""
+    low = query.lower()
+    grams = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+    rows = index.where(F.col("gram").isin(*grams))
     rows = rows if predicate is None else rows.where(F.col("p") == predicate)
-    return rows.where(F.contains(F.lower("o.str"), F.lit(query.lower())))
+    return rows.groupBy("g", "s", "p", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).drop("n")
 
 
 def latest_annotations(annotations: DataFrame, tt: int | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quadspark.functions import terms
 from quadspark.functions.terms import Value
 from quadspark.operators import access, vectors
-from quadspark.operators.snapshot import END, QUAD_DDL, Snapshot, edge_id, last_versions, live_rows, resolve, retain
+from quadspark.operators.snapshot import END, QUAD_DDL, Snapshot, edge_id, gram_hits, last_versions, live_rows, resolve, retain, text_search, trigrams
 from quadspark.scratch import Scratch
 
 ANNOTATION_DDL = f"edge_id string, g string, p string, o {terms.TERM_DDL}, vt_start bigint, vt_end bigint, tt bigint"
@@ -417,6 +417,27 @@ class Store:
     def counters(self) -> DataFrame:
         return access.counters(self._read("counters", COUNTER_DDL))
 
+    # --- the text index ------------------------------------------------------------------------------
+
+    def index_text(self, author: str = "") -> int:
+        """Writes the trigrams of all live short literals, sorted, so that a search reads those of its query
+        only. Searches use it until quads are committed after it."""
+        covers, ident = self.last(), f"t-{uuid.uuid4().hex}"
+        self._write(trigrams(self.live()).repartitionByRange("gram").sortWithinPartitions("gram"), "text", ident)
+        number, ts, _ = self._begin()
+        self._enter({"ts": ts, "id": ident, "parts": [], "author": author, "text": covers}, number)
+        return ts
+
+    def search_text(self, query: str, predicate: str | None = None) -> DataFrame:
+        """Live literals that contain the query, in whatever case: by the index if it is up to date and the
+        query has three characters, else by a scan."""
+        index = next((e for e in reversed(self.log()) if "text" in e), None)
+        rows = _of(self.live(), predicate)
+        if index and len(query) >= 3 and not any("quads" in e["parts"] and e["ts"] > index["text"] for e in self.log()):
+            hits = gram_hits(self.spark.read.parquet(f"{self.path}/text/{index['id']}"), query, predicate)
+            rows = rows.withColumn("key", F.col("o.key")).join(hits, KEY, "left_semi").drop("key")
+        return text_search(rows, query, predicate)
+
     # --- the vector index ----------------------------------------------------------------------------
 
     def index_vectors(self, space: str, author: str = "") -> int:
@@ -502,6 +523,7 @@ class Store:
         keep |= {kind: {base["id"]} if base else set() for kind in ("merged", "state")}
         indexes = {space: facts["index"] for e in entries for space, facts in e.get("ann", {}).items() if "index" in facts}
         keep |= {kind: set(indexes.values()) for kind in ("ann/index", "ann/centres")}
+        keep["text"] = {next((e["id"] for e in reversed(entries) if "text" in e), None)}
         gone = 0
         for kind, names in keep.items():
             fs, p = self._fs(f"{self.path}/{kind}")
@@ -535,6 +557,8 @@ class Store:
         folders = [(kind, e["id"]) for e in entries for kind in e["parts"] if not (kind == "quads" and e["ts"] <= covered) and not (kind == "changes" and e["ts"] <= self.floor())]
         folders += [(kind, base["id"]) for kind in ("merged", "state")] if base else []
         folders += [(kind, facts["index"]) for e in entries for facts in e.get("ann", {}).values() if "index" in facts for kind in ("ann/index", "ann/centres")]
+        folders += [("text", e["id"]) for e in entries if "text" in e]
+        folders = [(kind, ident) for kind, ident in folders if self._fs(f"{self.path}/{kind}/{ident}")[0].exists(self._fs_path(f"{self.path}/{kind}/{ident}"))]
         for kind, ident in folders:
             self.spark.read.parquet(f"{self.path}/{kind}/{ident}").write.mode("overwrite").parquet(f"{target}/{kind}/{ident}")
         out = Store(self.spark, target, self.clock)
