@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadspark.llm.common import WORD, map_texts
@@ -34,6 +34,8 @@ HOT = 10_000
 #: Robust standard deviations to both sides of the median, and the least of one for each measure.
 SPREAD = 3.5
 LEAST = {"chars_per_token": 0.08, "byte_share": 0.01, "token_entropy": 0.02}
+#: Width of the bins that each measure is counted in.
+WIDTH = {"chars_per_token": 0.005, "byte_share": 0.001, "token_entropy": 0.001}
 
 
 @dataclass(frozen=True)
@@ -171,11 +173,20 @@ def _fixed(bands: dict[str, Band], edge: str) -> Column:
 def calibrated(rows: DataFrame, bands: dict[str, Band], spread: float = SPREAD) -> DataFrame:
     """``(script, __lang, length, n, <measure>_low, <measure>_high)`` of each kind of text among ``rows``.
 
-    Quartiles are mergeable summaries, built task by task, so a kind that holds most rows is no hot group.
+    Measures are counted in bins of WIDTH, task by task and then in all, so a kind that holds most rows
+    is a few thousand numbers wherever they meet; quartiles are those of the counts, at middles of bins.
     """
     edges = {"chars_per_token": ("chars_low", "chars_high"), "byte_share": (None, "bytes_high"), "token_entropy": ("entropy_low", "entropy_high")}
-    fit = rows.where(~F.col("base_failed")).groupBy("script", "__lang", length_class().alias("length"))
-    found = fit.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(f"q_{m}") for m in edges])
+    kind = ["script", "__lang", "length"]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / WIDTH[m]).alias("bin")) for m in edges])).alias("x")
+    bins = rows.where(~F.col("base_failed")).select("script", "__lang", length_class().alias("length"), each)
+    bins = bins.groupBy(*kind, F.col("x.measure").alias("measure"), F.col("x.bin").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    within = Window.partitionBy(*kind, "measure")
+    upto = F.sum("c").over(within.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = bins.withColumn("upto", upto).withColumn("n", F.sum("c").over(within))
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("upto") >= F.col("n") * q), F.col("bin")))
+    quartiles = [F.array(*[(at(m, q) + 0.5) * WIDTH[m] for q in (0.25, 0.5, 0.75)]).alias(f"q_{m}") for m in edges]
+    found = placed.groupBy(*kind).agg(F.first("n").alias("n"), *quartiles)
     out = []
     for measure, (low, high) in edges.items():
         q = F.col(f"q_{measure}")

@@ -201,7 +201,8 @@ def test_quality_measures_and_bands_against_brute_force(spark, docs):
         keep = [True] * len(rows)
         for name, low, high in (("chars_per_token", "chars_low", "chars_high"), ("byte_share", None, "bytes_high"), ("token_entropy", "entropy_low", "entropy_high")):
             values, n = sorted(getattr(r, name) for r in rows), len(rows)
-            q1, q2, q3 = (values[max(0, int(np.ceil(q * n)) - 1)] for q in (0.25, 0.5, 0.75))
+            bin_of = lambda v: (np.floor(v / quality_rules.WIDTH[name]) + 0.5) * quality_rules.WIDTH[name]  # noqa: B023, E731
+            q1, q2, q3 = (bin_of(values[max(0, int(np.ceil(q * n)) - 1)]) for q in (0.25, 0.5, 0.75))
             width = quality_rules.SPREAD * max((q3 - q1) / 1.349, quality_rules.LEAST[name])
             mix = lambda own, fixed: (n * own + quality_rules.PRIOR * getattr(quality_rules.BANDS[script], fixed)) / (n + quality_rules.PRIOR)  # noqa: B023, E731
             a, b = mix(q2 - width, low) if low else 0.0, mix(q2 + width, high)
