@@ -7,7 +7,7 @@ leaves nothing visible. Events of the change feed are written aside and moved to
 commit stands, by the writer or by whoever looks next.
 
 ``compact`` merges what commits wrote into one folder, sorted by predicate and subject so that row groups
-of other predicates are skipped, and writes the state beside it: the last version of each quad. A read
+of other predicates are skipped, with the state apart in it: the last version of each quad. A read
 of what is live now is then a scan of the state, without a shuffle; commits since are laid on top.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadspark.functions import terms
@@ -40,6 +40,8 @@ KEY = ["g", "s", "p", "key"]
 MAX_CHANGES = 100_000
 #: Predicates with several values of a subject are listed with the state up to this many.
 MAX_MANY = 1_000
+#: Bytes of Parquet that a compaction sorts in one task.
+RANGE_BYTES = 8 << 20
 
 
 class Conflict(Exception):
@@ -125,9 +127,22 @@ class Store:
         base = self._compaction()
         if base is None:
             return self._read("quads", QUAD_DDL, upto=upto)
-        merged = self.spark.read.schema(QUAD_DDL).parquet(f"{self.path}/merged/{base['id']}")
+        merged = self._folded(base, 0)
         return merged.unionByName(self._read("quads", QUAD_DDL, base["covers"], upto)) if self._since(base) else merged
 
+    def _folded(self, base: dict, least: int = 1) -> DataFrame:
+        """The state that a compaction left; with 0 all of its versions."""
+        if not base["state"].get("folded"):  # written in two folders by earlier releases
+            return self.spark.read.schema(QUAD_DDL).parquet(f"{self.path}/{'state' if least else 'merged'}/{base['id']}")
+        rows = self.spark.read.schema(f"{QUAD_DDL}, last int").parquet(f"{self.path}/merged/{base['id']}")
+        return (rows.where(F.col("last") >= least) if least else rows).select(*COLS)
+
+    def _bytes(self, base: dict | None) -> int:
+        """Size of what :meth:`versions` reads."""
+        folders = [f"quads/{e['id']}" for e in self.log() if "quads" in e["parts"] and (base is None or e["ts"] > base["covers"])]
+        folders += [f"merged/{base['id']}"] if base else []
+        return sum(fs.getContentSummary(p).getLength() for fs, p in (self._fs(f"{self.path}/{folder}") for folder in folders))
+
     def _since(self, base: dict) -> bool:
         return any("quads" in e["parts"] and e["ts"] > base["covers"] for e in self.log())
 
@@ -156,7 +171,7 @@ class Store:
         base = self._compaction()
         if base is None:
             return last_versions(self.versions())
-        state = self.spark.read.schema(QUAD_DDL).parquet(f"{self.path}/state/{base['id']}")
+        state = self._folded(base)
         if not self._since(base):
             return state
         fresh = self._read("quads", QUAD_DDL, base["covers"])
@@ -180,7 +195,7 @@ class Store:
         if vt is not None or tt is not None or base is None:
             versions = self.versions()
             return Snapshot(lambda p: resolve(_of(versions, p), vt, tt), annotations=notes, picked=lambda p, test: resolve(_of(versions, p).where(test), vt, tt))
-        state = self.spark.read.schema(QUAD_DDL).parquet(f"{self.path}/state/{base['id']}")
+        state = self._folded(base)
         if not self._since(base):
             many = base["state"]["many"]
             return Snapshot(lambda p: live_rows(_of(state, p)), one_graph=base["state"]["one_graph"], single=many is not None, many=frozenset(many or ()), annotations=notes)
@@ -489,7 +504,7 @@ class Store:
     # --- upkeep -----------------------------------------------------------------------------------
 
     def compact(self, tx_cutoff: int | None = None, vt_cutoff: int | None = None, author: str = "") -> int:
-        """Merges all versions into one sorted folder and writes the state beside it; with cutoffs only
+        """Merges all versions into one sorted folder, the state apart from older versions; with cutoffs only
         what retention leaves. Commits that other writers make meanwhile are not covered, and stay as
         they are. What is merged is deleted by :meth:`vacuum`, so readers in flight are not disturbed."""
         covers = self.last()
@@ -497,16 +512,25 @@ class Store:
         if tx_cutoff is not None or vt_cutoff is not None:
             every = retain(every, tx_cutoff, vt_cutoff)
         ident = f"c-{uuid.uuid4().hex}"
-        self._write(every.select(*COLS).repartitionByRange("p", "s").sortWithinPartitions("p", "s"), "merged", ident)
-        merged = self.spark.read.schema(QUAD_DDL).parquet(f"{self.path}/merged/{ident}")
-        state = last_versions(merged).select(*COLS)
-        self._write(state.repartitionByRange("p", "s").sortWithinPartitions("p", "s"), "state", ident)
-        live = live_rows(self.spark.read.schema(QUAD_DDL).parquet(f"{self.path}/state/{ident}"))
-        low, high = live.agg(F.min("g"), F.max("g")).first()
-        several = live.where(F.col("o.kind") != "U").groupBy("s", "p").agg(F.count_distinct("o.key").alias("n")).where("n > 1")
-        many = [r[0] for r in several.select("p").distinct().limit(MAX_MANY + 1).collect()]
+        # one shuffle deals, sorts and tells last versions apart: all that is asked of a quad or a subject's
+        # values is within a range. Ids that follow from the quad are not carried through it.
+        own = edge_id(F.col("s"), F.col("p"), F.col("o.key"))
+        rows = every.select(*COLS).withColumn("edge_id", F.when(F.col("edge_id") == own, F.lit("")).otherwise(F.col("edge_id")))
+        rows = rows.repartitionByRange(max(1, -(-self._bytes(self._compaction()) // RANGE_BYTES)), "p", "s")
+        rows = rows.withColumn("edge_id", F.when(F.col("edge_id") == "", own).otherwise(F.col("edge_id"))).withColumn("key", F.col("o.key"))
+        newest = Window.partitionBy("p", "s", "g", "key").orderBy(*[F.desc(c) for c in ("vt_start", "tt", "vt_end", "edge_id", "o")])
+        rows = rows.withColumn("nth", F.row_number().over(newest))
+        value = F.when((F.col("nth") == 1) & (F.col("vt_end") == END) & (F.col("o.kind") != "U"), F.col("key"))
+        before = Window.partitionBy("p", "s").orderBy("g", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        other = value.isNotNull() & ((F.min(value).over(before) != value) | (F.max(value).over(before) != value))
+        rows = rows.withColumn("last", F.when(F.col("nth") > 1, 0).when(other, 2).otherwise(1)).select(*COLS, "last")
+        # 0 is an older version, 1 a last one, 2 a last one of a subject that has another value
+        rows.sortWithinPartitions("last", "p", "s").write.mode("errorifexists").partitionBy("last").parquet(f"{self.path}/merged/{ident}")
+        written = self.spark.read.schema(f"{QUAD_DDL}, last int").parquet(f"{self.path}/merged/{ident}")
+        low, high = live_rows(written.where("last > 0")).agg(F.min("g"), F.max("g")).first()
+        many = [r[0] for r in written.where("last = 2").select("p").distinct().limit(MAX_MANY + 1).collect()]
         number, ts, _ = self._begin()
-        facts = {"one_graph": low == high, "many": many if len(many) <= MAX_MANY else None}
+        facts = {"one_graph": low == high, "many": many if len(many) <= MAX_MANY else None, "folded": True}
         self._enter({"ts": ts, "id": ident, "parts": [], "author": author, "covers": covers, "state": facts}, number)
         return ts
 

@@ -52,3 +52,68 @@ def test_many_rows_of_a_key_on_both_sides_are_dealt_into_cells(spark, monkeypatc
     a = bound(spark, x=[f"x{k}" for k in range(30)], n=["hot"] * 25 + ["cold"] * 2 + ["none"] * 3)
     b = bound(spark, y=[f"y{k}" for k in range(20)], n=["hot"] * 18 + ["cold", "other"])
     assert listed(build.spread_join(a, b)) == listed(build.join(a, b))
+
+
+def test_rows_that_bind_nothing_shared_are_not_compared_with_all(spark):
+    a = bound(spark, x=["1", "2", "3", "4"], n=["p", "q", None, "r"])
+    b = bound(spark, y=["1", "2", "3"], n=["p", "p", None])
+    gone = build.join(a, b, "left_anti", overlap=True)
+    assert listed(gone) == listed(bound(spark, x=["2", "3", "4"], n=["q", None, "r"]))
+    assert "NestedLoop" not in gone.df._jdf.queryExecution().executedPlan().toString()
+    assert listed(build.join(a, b, "left_semi")) == listed(a) and not listed(build.join(a, b, "left_anti"))
+
+
+def test_many_pairs_that_are_only_counted_are_not_made(spark):
+    quads = spark.range(200).select(F.lit("").alias("g"), F.concat(F.lit("urn:n:"), "id").alias("s"), F.when(F.col("id") % 2 == 0, "urn:d:a").otherwise("urn:d:b").alias("p"), terms.node(F.lit("urn:n:one")).alias("o"), F.lit(None).cast("string").alias("edge_id"))
+    run = Cypher(Snapshot.of(quads), spark, Vocabulary("urn:d:"))
+    text = "MATCH (x)-[:a]->(n), (y)-[:b]->(n) RETURN n, count(*) AS pairs, count(n) AS c"
+    assert run.bindings(parse(text), {}).df.count() == 1
+    assert [tuple(r) for r in run.run(text).collect()] == [("urn:n:one", 10_000, 10_000)]
+
+
+def test_an_optional_step_from_bound_nodes_reads_no_other_table(spark, small):
+    rows = catalog.QUERIES["sparql_path_optional"](spark, small)
+    assert "part.parquet" not in str(rows.inputFiles())
+
+
+def test_a_batch_search_holds_few_scores_at_once(spark, monkeypatch):
+    import numpy as np
+
+    from quadspark.operators import vectors
+
+    rng = np.random.default_rng(1)
+    data = [(f"n{k:03}", [float(x) for x in rng.integers(-2, 3, 4)]) for k in range(300)]
+    rows = spark.createDataFrame([(f"n{k}", v) for k, v in data], "node string, vec array<double>").where("aggregate(vec, 0D, (a, x) -> a + x * x) > 0").coalesce(1)
+    queries = rows.select(F.col("node").alias("query"), "vec").limit(60)
+    found = lambda: sorted((r.query, r["rank"], round(r.score, 9)) for r in vectors.batch_top_k(rows, queries, 3).collect())
+    wanted = found()
+    monkeypatch.setattr(vectors, "SCORES", 64)
+    assert found() == wanted
+
+
+def test_a_trimmed_search_keeps_no_more_ties_than_it_needs():
+    import numpy as np
+    import pyarrow as pa
+
+    from quadspark.operators import vectors
+
+    q, node, score = vectors._trimmed((np.zeros(500, int), pa.array([f"n{k:03}" for k in range(499, -1, -1)]), np.ones(500)), 3)
+    assert sorted(node.to_pylist()) == ["n000", "n001", "n002"]
+
+
+def test_a_compaction_keeps_the_state_apart_from_older_versions(spark):
+    from quadspark.operators.store import Store
+    from quadspark.scratch import Scratch
+    from quadspark.sources import rdf
+
+    st = Store(spark, Scratch(spark, "folded").root)
+    quad = lambda v: rdf.quads_of(spark, [("", "urn:s", "urn:p", Value("I", v))]).select("g", "s", "p", "o")
+    st.commit(quad(1))
+    st.commit(quad(1))
+    st.commit(quad(2))
+    st.compact()
+    ident = next(e["id"] for e in st.log() if "state" in e)
+    assert st._folded(st._compaction()).count() == 2 and st.versions().count() == 3
+    assert st.log()[-1]["state"] == {"one_graph": True, "many": ["urn:p"], "folded": True}
+    fs, p = st._fs(f"{st.path}/state/{ident}")
+    assert not fs.exists(p)
