@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quadspark.functions import terms
 from quadspark.functions.terms import RDF_TYPE, Value
 from quadspark.operators.snapshot import Snapshot, latest_annotations
-from quadspark.plans.build import Builder, Solutions, join
+from quadspark.plans.build import Builder, Solutions, join, weight
 from quadspark.plans.patterns import UNION, Graph, Pattern, Var, Vocabulary
 
 _TOKENS = re.compile(
@@ -331,7 +331,7 @@ class Cypher:
         free = [v for v in q.nodes if v not in bound and not any(v == n[0] for n in q.near)]
         seed = self.candidates(q, patterns)
         # a value test on a node becomes a semi-join before the joins that multiply rows
-        rows = self.builder.conjunction(patterns, seed)
+        rows = self.builder.conjunction(patterns, seed, keep=None if free or seed else self.kept(q))
         for v in free:
             every = self.snapshot.scan(graph=graph).select(terms.node(F.col("s")).alias(v)).groupBy(F.col(v)["key"]).agg(F.first(v).alias(v)).select(v)
             rows = join(rows, Solutions(every, (v,), frozenset([v])))
@@ -339,6 +339,18 @@ class Cypher:
             rows = self.filter(q, rows, f, params, graph)
         return rows
 
+    def kept(self, q: Query) -> set[str] | None:
+        """Variables that an aggregation needs, all else being counted; None if all rows are needed."""
+        exprs = [e for _, e in q.items] + [e for e, _ in q.order]
+        if q.writes or not any(e[0] == "agg" for e in exprs) or any(e[0] == "agg" and not e[3] and e[1] == "COLLECT" or e[0] == "agg" and e[3] and e[2] is None for e in exprs):
+            return None
+        inner = [e[2] if e[0] == "agg" else e for e in exprs]
+
+        def tested(t: tuple) -> set[str]:
+            return set().union(*map(tested, t[1:])) if t[0] in ("and", "or", "not") else {t[1]} if len(t) == 4 else set()
+
+        return {e[1] for e in inner if e is not None}.union(*map(tested, q.filters), q.edges)
+
     def candidates(self, q: Query, patterns: list[Pattern]) -> Solutions | None:
         seed = None
         for var, space, k, score, ef in q.near:
@@ -453,7 +465,7 @@ class Cypher:
             sorts = [i for i, (n, e) in enumerate(keys) if e in ordered or ("var", n) in ordered]
             group = [c for i, (n, e) in enumerate(keys) for c in (term(e)["key"].alias(f"__g{i}"), terms.plain(term(e)).alias(n))]
             group += [terms.order_key(term(keys[i][1])).alias(f"__k{i}") for i in sorts]
-            out = df.groupBy(*group).agg(*[_aggregate(e, term).alias(n) for n, e in aggregates])
+            out = df.groupBy(*group).agg(*[_aggregate(e, term, weight(rows)).alias(n) for n, e in aggregates])
             order_of = {**{n: F.col(f"__k{i}") for i, (n, _) in enumerate(keys)}, **{n: F.col(f"`{n}`") for n, _ in aggregates}}
             by_expr = {e: order_of[n] for n, e in q.items}
         else:
@@ -485,21 +497,24 @@ def _conjuncts(test: tuple) -> list[tuple]:
     return [*_conjuncts(test[1]), *_conjuncts(test[2])] if test[0] == "and" else [test]
 
 
-def _aggregate(e: tuple, term) -> Column:
-    """Sums and means are doubles over what is numeric; COLLECT is a sorted list as JSON text."""
+def _aggregate(e: tuple, term, times: Column) -> Column:
+    """Sums and means are doubles over what is numeric; COLLECT is a sorted list as JSON text. ``times`` is
+    how many solutions a row stands for."""
     _, name, inner, distinct = e
     if inner is None:
-        return F.count(F.lit(1))
+        return F.coalesce(F.sum(times), F.lit(0).cast("long"))
     t = term(inner)
     num = terms.number(t)
     if name == "COUNT":
-        return F.count_distinct(t["key"]) if distinct else F.count(t["key"])
+        return F.count_distinct(t["key"]) if distinct else F.coalesce(F.sum(F.when(t["key"].isNotNull(), times)), F.lit(0).cast("long"))
     if name == "COLLECT":
         gather = F.collect_set if distinct else F.collect_list
         return F.to_json(F.array_sort(gather(terms.lexical(t))))
     if name == "SUM":
-        return F.coalesce(F.sum_distinct(num) if distinct else F.sum(num), F.lit(0.0))
-    return {"AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](num)
+        return F.coalesce(F.sum_distinct(num) if distinct else F.sum(num * times), F.lit(0.0))
+    if name == "AVG":
+        return F.sum(num * times) / F.sum(F.when(num.isNotNull(), times))
+    return {"MIN": F.min, "MAX": F.max}[name](num)
 
 
 #: POSIX classes in brackets, as Java spells them.
