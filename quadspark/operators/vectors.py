@@ -70,6 +70,10 @@ def _unit_rows(column: pa.Array, dim: int) -> np.ndarray:
     return out / np.where(norms > 0, norms, 1)[:, None]
 
 
+#: Scores that a task of a batch search holds at once.
+SCORES = 1 << 22
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, max_bytes: int = QUERY_BYTES) -> DataFrame:
     """``(query, rank, node, score)`` for each row of ``queries (query, vec)``.
 
@@ -92,19 +96,27 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, max_bytes: int =
         def run(batches):
             names, unit = held.value
             best: tuple | None = None
+            worst = np.full(len(unit), -np.inf)  # what a query's k-th best has at least
             for batch in batches:
-                nodes = batch.column("node")
-                scores = np.clip(unit @ _unit_rows(batch.column("vec"), unit.shape[1]).T, -1, 1)
-                keep = min(k, len(nodes))
-                if not keep:
-                    continue
-                # ties at the last place all go on: which of them counts is decided by node
-                limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                q, n = np.nonzero(scores >= limit[:, None])
-                fresh = q, nodes.take(pa.array(n)), scores[q, n]
-                best = fresh if best is None else tuple(pa.concat_arrays([x, y]) if isinstance(x, pa.Array) else np.concatenate([x, y]) for x, y in zip(best, fresh, strict=True))
-                if len(best[0]) > 4 * k * len(unit) + 10_000:
-                    best = _trimmed(best, k)
+                # a matrix of bounded size at a time, whatever the number of queries and the length of a batch
+                step = max(k, min(len(batch), SCORES // max(1, min(len(unit), SCORES // 1024))))
+                for at in range(0, len(batch), step):
+                    nodes, rows = batch.column("node").slice(at, step), _unit_rows(batch.column("vec").slice(at, step), unit.shape[1]).T
+                    keep, wide = min(k, len(nodes)), max(1, SCORES // len(nodes))
+                    for low in range(0, len(unit), wide):
+                        scores = np.clip(unit[low : low + wide] @ rows, -1, 1)
+                        # ties at the last place all go on: which of them counts is decided by node
+                        limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+                        limit = np.maximum(limit, worst[low : low + wide])
+                        q, n = np.nonzero(scores >= limit[:, None])
+                        fresh = q + low, nodes.take(pa.array(n)), scores[q, n]
+                        best = fresh if best is None else tuple(pa.concat_arrays([x, y]) if isinstance(x, pa.Array) else np.concatenate([x, y]) for x, y in zip(best, fresh, strict=True))
+                        if len(best[0]) > 4 * k * len(unit) + 10_000:
+                            best = _trimmed(best, k)
+                            full = np.bincount(best[0], minlength=len(unit)) >= k
+                            least = np.full(len(unit), np.inf)
+                            np.minimum.at(least, best[0], best[2])
+                            worst[full] = least[full]
             if best is not None:
                 q, node, score = _trimmed(best, k)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), node, pa.array(score)], names=["query", "node", "score"])
@@ -117,13 +129,18 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, max_bytes: int =
 
 
 def _trimmed(best: tuple, k: int) -> tuple:
-    """The k best of each query and what ties with the last of them."""
+    """The k best of each query, ties to smaller nodes; where few tie with the last, those too."""
     q, node, score = best
     order = np.lexsort((-score, q))
     starts = np.flatnonzero(np.concatenate([[True], np.diff(q[order]) != 0]))
     sizes = np.diff(np.append(starts, len(q)))
     last = score[order[starts + np.minimum(sizes, k) - 1]]
     keep = order[score[order] >= np.repeat(last, sizes)]
+    if len(keep) > 2 * k * len(sizes):
+        name = pc.rank(node.take(pa.array(keep)), sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
+        keep = keep[np.lexsort((name, -score[keep], q[keep]))]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(q[keep]) != 0]))
+        keep = keep[np.arange(len(keep)) - np.repeat(starts, np.diff(np.append(starts, len(keep)))) < k]
     return q[keep], node.take(pa.array(keep)), score[keep]
 
 
