@@ -117,3 +117,11 @@ def test_a_compaction_keeps_the_state_apart_from_older_versions(spark):
     assert st.log()[-1]["state"] == {"one_graph": True, "many": ["urn:p"], "folded": True}
     fs, p = st._fs(f"{st.path}/state/{ident}")
     assert not fs.exists(p)
+
+
+def test_heads_that_no_rule_uses_stay_out_of_the_rounds(spark, small, monkeypatch):
+    from quadspark.operators import recursion
+
+    seen, plain = [], recursion.fixpoint
+    monkeypatch.setattr(recursion, "fixpoint", lambda scratch, heads, *rest: (seen.append(heads), plain(scratch, heads, *rest))[1])
+    assert catalog.QUERIES["rules_recursive"](spark, small).count() and seen == [{"anc"}]
