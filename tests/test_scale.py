@@ -125,3 +125,11 @@ def test_heads_that_no_rule_uses_stay_out_of_the_rounds(spark, small, monkeypatc
     seen, plain = [], recursion.fixpoint
     monkeypatch.setattr(recursion, "fixpoint", lambda scratch, heads, *rest: (seen.append(heads), plain(scratch, heads, *rest))[1])
     assert catalog.QUERIES["rules_recursive"](spark, small).count() and seen == [{"anc"}]
+
+
+def test_tasks_of_many_pairs_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(build, "TASK_PAIRS", 4, raising=False)
+    a = bound(spark, x=[f"x{k}" for k in range(60)], n=["hot"] * 60)
+    b = bound(spark, y=[f"y{k}" for k in range(40)], n=["hot"] * 40)
+    rows = build.spread_join(a, b).df
+    assert rows.count() == 2400 and "RepartitionByExpression" in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) and ", 600" in plan
